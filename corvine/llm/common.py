@@ -42,9 +42,10 @@ def keep(df: DataFrame, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(kept: DataFrame, most_rows: int) -> DataFrame:
-    """A broadcast hint behind a count of a written table; beyond ``most_rows`` the join shuffles. ``kept`` holds a few fixed-width columns, so rows bound bytes."""
-    return F.broadcast(kept) if kept.count() <= most_rows else kept
+def broadcast_if_small(kept: DataFrame, most: int, items: str | None = None) -> DataFrame:
+    """A broadcast hint behind a check of a written table: at most ``most`` rows of a few fixed-width columns or, with the array column ``items``, at most ``most`` rows and elements. Beyond, the join shuffles."""
+    size = kept.count() if items is None else kept.agg(F.coalesce(F.sum(F.size(items) + 1), F.lit(0))).first()[0]
+    return F.broadcast(kept) if size <= most else kept
 
 
 def words(text: Column) -> Column:

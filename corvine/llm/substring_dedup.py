@@ -6,8 +6,9 @@ anywhere else (in another row, or elsewhere in the same one) are removed.
 1. Each window has an anchor: the leftmost least-hashed phrase of ``phrase`` words inside it. Equal windows have equal
    anchors at equal places, so a repeated window always has an anchor that occurs twice. One row for about every 12 words
    is counted, after a partial count on the map side.
-2. Recurring passages are confirmed: rows that hold a recurring anchor give the hashes of the windows around it, grouped
-   first by the whole context (copies meet in one row), then by window.
+2. Recurring passages are confirmed: rows that hold a recurring anchor give the hash of the whole context of the anchor's
+   windows, and one document of each context gives the windows. An anchor with one context has it twice; else the
+   windows of its contexts are counted one by one.
 3. Documents are dealt into buckets by key. A bucket gets the anchors' phrases and the confirmed windows of its own
    documents, once each however many documents hold them, and compiles them into one Aho-Corasick automaton: its shard.
 4. All documents stream through the automaton of their bucket. It locates every occurrence of a confirmed passage's
@@ -34,8 +35,8 @@ from .common import broadcast_if_small, keep, row_key, shuffles, table
 from .wordhash import WORD_BASE, Words, columns, joined, leftmost_minima, lists, longs, spans_hash
 
 WINDOW, PHRASE = 35, 12
-#: Keys of candidate documents are broadcast up to so many rows of 8 bytes and a short list; beyond, the join shuffles.
-SMALL_ROWS = 300_000
+#: Documents' anchors or contexts are broadcast up to so many rows and numbers in all; beyond, the join shuffles.
+SMALL = 2_000_000
 #: Text of one bucket, in bytes.
 BUCKET_BYTES = 32 << 20
 
@@ -62,33 +63,65 @@ def _find_anchors(window: int, phrase: int):
     return run
 
 
+def _runs(w: Words, window: int, phrase: int):
+    """Each anchor with its windows: hashes of phrases, the anchors' places, the first and the last window, the hash of the whole context."""
+    grams, at = _anchors(w, window, phrase)
+    if not len(at):
+        return None
+    first = np.flatnonzero((at >= 0) & np.r_[True, at[1:] != at[:-1]])
+    last = np.r_[np.flatnonzero((at[:-1] != at[1:]) & (at[:-1] >= 0)), [len(at) - 1] if at[-1] >= 0 else []].astype(np.int64)
+    return grams, at[first], first, last, spans_hash(w.hash, first, last + window, WORD_BASE)
+
+
 def _contexts(window: int, phrase: int):
+    """Contexts of the anchors at the given places of each document."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bucket, found = batch.column(0).to_numpy(), batch.column(2)
+            keys, found = batch.column(0).to_numpy(), batch.column(2)
             for i, j, data, offsets in columns(batch, "text"):
                 w = Words(data, offsets)
-                grams, at = _anchors(w, window, phrase)
-                if not len(at):
+                if (runs := _runs(w, window, phrase)) is None:
                     continue
+                grams, anchor, _, _, context = runs
                 part = found.slice(i, j - i)
                 flat = part.flatten().to_numpy() + np.repeat(w.bounds[:-1], part.value_lengths().to_numpy())
                 asked = np.zeros(len(w.hash) + 1, bool)
                 asked[flat[flat < len(w.hash)]] = True
-                first = np.flatnonzero((at >= 0) & np.r_[True, at[1:] != at[:-1]])
-                last = np.r_[np.flatnonzero((at[:-1] != at[1:]) & (at[:-1] >= 0)), [len(at) - 1] if at[-1] >= 0 else []].astype(np.int64)
-                wanted = asked[at[first]]
-                first, last = first[wanted], last[wanted]
-                if not len(first):
+                wanted = asked[anchor]
+                anchor = anchor[wanted]
+                yield pa.record_batch([longs(grams[anchor]), longs(context[wanted]), pa.array(keys[i + w.text[anchor]])], names=["anchor", "ctx", "k"])
+
+    return run
+
+
+def _details(window: int, phrase: int):
+    """Windows' hashes and phrases of the given contexts of each document, once each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.column(1)
+            for i, j, data, offsets in columns(batch, "text"):
+                w = Words(data, offsets)
+                if (runs := _runs(w, window, phrase)) is None:
                     continue
-                anchor, size = at[first], last - first + 1
+                grams, anchor, first, last, context = runs
+                part = found.slice(i, j - i)
+                asked, text = part.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(j - i), part.value_lengths().to_numpy())
+                order = np.lexsort((text, asked))
+                asked, text = asked[order], text[order]
+                # a context asked of its own document: contexts alike in two documents of a slice are asked of one
+                at = np.searchsorted(asked, context)
+                near = np.minimum(at, max(0, len(asked) - 1))
+                wanted = np.flatnonzero((asked[near] == context) & (text[near] == w.text[anchor])) if len(asked) else np.zeros(0, np.int64)
+                wanted = wanted[np.unique(context[wanted], return_index=True)[1]]
+                anchor, first, size = anchor[wanted], first[wanted], (last - first + 1)[wanted]
                 copy, place = joined(w)
-                windows = w.grams(window)
                 flat = np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)
                 phrases = [copy[place[a] : place[a + phrase] - 1].tobytes() for a in anchor.tolist()]
                 yield pa.record_batch(
-                    [longs(grams[anchor]), longs(spans_hash(w.hash, first, last + window, WORD_BASE)), pa.array(bucket[i + w.text[anchor]]), lists(windows[flat], size), pa.array(phrases, pa.binary()).cast(pa.string())],
-                    names=["anchor", "ctx", "bucket", "wins", "phrase"],
+                    [longs(grams[anchor]), longs(context[wanted]), lists(w.grams(window)[flat] if len(flat) else np.zeros(0, np.uint64), size), pa.array(phrases, pa.binary()).cast(pa.string())],
+                    names=["anchor", "ctx", "wins", "phrase"],
                 )
 
     return run
@@ -156,14 +189,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
     anchors = docs.select("k", "text").mapInArrow(_find_anchors(window, phrase), "anchor long, k long, pos int")
     recurring = anchors.groupBy("anchor").count().where("count > 1").select("anchor")
     held = keep(anchors.join(recurring, "anchor").groupBy("k").agg(F.collect_set("pos").alias("pos")))
-    contexts = keep(
-        docs.join(broadcast_if_small(held, SMALL_ROWS), "k").select(bucket, "text", "pos").mapInArrow(_contexts(window, phrase), "anchor long, ctx long, bucket int, wins array<long>, phrase string")
-    )
-    distinct = keep(contexts.groupBy("anchor", "ctx").agg(F.count("*").alias("n"), F.first("wins").alias("wins"), F.first("phrase").alias("phrase")))
-    each = distinct.select("anchor", "ctx", "n", F.explode("wins").alias("win"))
+    contexts = keep(docs.join(broadcast_if_small(held, SMALL, "pos"), "k").select("k", "text", "pos").mapInArrow(_contexts(window, phrase), "anchor long, ctx long, k long"))
+    counted = keep(contexts.groupBy("anchor", "ctx").agg(F.count("*").alias("n"), F.min("k").alias("k")))
+    asked = keep(counted.groupBy("k").agg(F.collect_list("ctx").alias("ctx")))
+    details = docs.join(broadcast_if_small(asked, SMALL, "ctx"), "k").select("text", "ctx").mapInArrow(_details(window, phrase), "anchor long, ctx long, wins array<long>, phrase string")
+    several = counted.groupBy("anchor").agg(F.count("*").alias("contexts"))
+    distinct = keep(details.dropDuplicates(["anchor", "ctx"]).join(counted.select("anchor", "ctx", "n"), ["anchor", "ctx"]).join(several, "anchor"))
+    # an anchor of one context has it twice, so all its windows recur
+    each = distinct.where("contexts > 1").select("anchor", "ctx", "n", F.explode("wins").alias("win"))
     confirmed = each.groupBy("anchor", "win").agg(F.sum("n").alias("n")).where("n > 1").select("anchor", "win")
-    passages = each.join(confirmed, ["anchor", "win"]).groupBy("anchor", "ctx").agg(F.collect_set("win").alias("wins")).join(distinct.select("anchor", "ctx", "phrase"), ["anchor", "ctx"])
-    shards = contexts.select("bucket", "anchor", "ctx").distinct().join(passages, ["anchor", "ctx"])
+    some = each.join(confirmed, ["anchor", "win"]).groupBy("anchor", "ctx").agg(F.collect_set("win").alias("wins")).join(distinct.select("anchor", "ctx", "phrase"), ["anchor", "ctx"])
+    passages = some.select("anchor", "ctx", "phrase", "wins").unionByName(distinct.where("contexts = 1").select("anchor", "ctx", "phrase", "wins"))
+    shards = contexts.select(bucket, "anchor", "ctx").distinct().join(passages, ["anchor", "ctx"])
 
     kinds = "bucket int, kind int, doc_id long, text string, phrase string, wins array<long>"
     null = F.lit(None)
