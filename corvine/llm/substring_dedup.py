@@ -4,11 +4,10 @@ A window is ``window`` consecutive words of one document. Words covered by a win
 anywhere else (in another row, or elsewhere in the same one) are removed.
 
 1. Each window has an anchor: the leftmost least-hashed phrase of ``phrase`` words inside it. Equal windows have equal
-   anchors at equal places, so a repeated window always has an anchor that occurs twice. One row for about every 12 words
-   is counted, after a partial count on the map side.
-2. Recurring passages are confirmed: rows that hold a recurring anchor give the hash of the whole context of the anchor's
-   windows, and one document of each context gives the windows. An anchor with one context has it twice; else the
-   windows of its contexts are counted one by one.
+   anchors at equal places, so a repeated window always has an anchor that occurs twice. One row for about every 12 words,
+   with the hash of the anchor's context (all its windows), is counted, after a partial count on the map side.
+2. Recurring passages are confirmed: of the contexts of recurring anchors, one document each gives the windows. An anchor
+   with one context has it twice; else the windows of its contexts are counted one by one.
 3. Documents are dealt into buckets by key. A bucket gets the anchors' phrases and the confirmed windows of its own
    documents, once each however many documents hold them, and compiles them into one Aho-Corasick automaton: its shard.
 4. All documents stream through the automaton of their bucket. It locates every occurrence of a confirmed passage's
@@ -31,12 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, keep, row_key, shuffles, table
+from .common import keep, row_key, shuffles, table
 from .wordhash import WORD_BASE, Words, columns, joined, leftmost_minima, lists, longs, spans_hash
 
 WINDOW, PHRASE = 35, 12
-#: Documents' anchors or contexts are broadcast up to so many rows and numbers in all; beyond, the join shuffles.
-SMALL = 2_000_000
 #: Text of one bucket, in bytes.
 BUCKET_BYTES = 32 << 20
 
@@ -48,21 +45,6 @@ def _anchors(w: Words, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray
     return grams, np.where(w.whole(window), at, -1) if len(at) else at
 
 
-def _find_anchors(window: int, phrase: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column(0).to_numpy()
-            for i, _, data, offsets in columns(batch, "text"):
-                w = Words(data, offsets)
-                grams, at = _anchors(w, window, phrase)
-                at = np.unique(at)
-                at = at[at >= 0]
-                text = w.text[at]
-                yield pa.record_batch([longs(grams[at]), pa.array(keys[i + text]), pa.array((at - w.bounds[text]).astype(np.int32))], names=["anchor", "k", "pos"])
-
-    return run
-
-
 def _runs(w: Words, window: int, phrase: int):
     """Each anchor with its windows: hashes of phrases, the anchors' places, the first and the last window, the hash of the whole context."""
     grams, at = _anchors(w, window, phrase)
@@ -74,23 +56,16 @@ def _runs(w: Words, window: int, phrase: int):
 
 
 def _contexts(window: int, phrase: int):
-    """Contexts of the anchors at the given places of each document."""
+    """Anchor and context of every window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, found = batch.column(0).to_numpy(), batch.column(2)
-            for i, j, data, offsets in columns(batch, "text"):
+            keys = batch.column(0).to_numpy()
+            for i, _, data, offsets in columns(batch, "text"):
                 w = Words(data, offsets)
-                if (runs := _runs(w, window, phrase)) is None:
-                    continue
-                grams, anchor, _, _, context = runs
-                part = found.slice(i, j - i)
-                flat = part.flatten().to_numpy() + np.repeat(w.bounds[:-1], part.value_lengths().to_numpy())
-                asked = np.zeros(len(w.hash) + 1, bool)
-                asked[flat[flat < len(w.hash)]] = True
-                wanted = asked[anchor]
-                anchor = anchor[wanted]
-                yield pa.record_batch([longs(grams[anchor]), longs(context[wanted]), pa.array(keys[i + w.text[anchor]])], names=["anchor", "ctx", "k"])
+                if (runs := _runs(w, window, phrase)) is not None:
+                    grams, anchor, _, _, context = runs
+                    yield pa.record_batch([longs(grams[anchor]), longs(context), pa.array(keys[i + w.text[anchor]])], names=["anchor", "ctx", "k"])
 
     return run
 
@@ -186,13 +161,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
     buckets = 2 * max(shuffles(spark), size // (2 * BUCKET_BYTES) + 1)
     bucket = F.pmod(F.col("k"), F.lit(buckets)).cast("int").alias("bucket")
 
-    anchors = docs.select("k", "text").mapInArrow(_find_anchors(window, phrase), "anchor long, k long, pos int")
+    anchors = docs.select("k", "text").mapInArrow(_contexts(window, phrase), "anchor long, ctx long, k long")
     recurring = anchors.groupBy("anchor").count().where("count > 1").select("anchor")
-    held = keep(anchors.join(recurring, "anchor").groupBy("k").agg(F.collect_set("pos").alias("pos")))
-    contexts = keep(docs.join(broadcast_if_small(held, SMALL, "pos"), "k").select("k", "text", "pos").mapInArrow(_contexts(window, phrase), "anchor long, ctx long, k long"))
+    contexts = keep(anchors.join(recurring, "anchor"))
     counted = keep(contexts.groupBy("anchor", "ctx").agg(F.count("*").alias("n"), F.min("k").alias("k")))
-    asked = keep(counted.groupBy("k").agg(F.collect_list("ctx").alias("ctx")))
-    details = docs.join(broadcast_if_small(asked, SMALL, "ctx"), "k").select("text", "ctx").mapInArrow(_details(window, phrase), "anchor long, ctx long, wins array<long>, phrase string")
+    asked = counted.groupBy("k").agg(F.collect_list("ctx").alias("ctx"))  # no more than the document's anchors
+    details = docs.join(asked, "k").select("text", "ctx").mapInArrow(_details(window, phrase), "anchor long, ctx long, wins array<long>, phrase string")
     several = counted.groupBy("anchor").agg(F.count("*").alias("contexts"))
     distinct = keep(details.dropDuplicates(["anchor", "ctx"]).join(counted.select("anchor", "ctx", "n"), ["anchor", "ctx"]).join(several, "anchor"))
     # an anchor of one context has it twice, so all its windows recur
