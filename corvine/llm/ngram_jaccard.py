@@ -8,11 +8,12 @@ fingerprints of the set; only classes are compared.
    table of fixed size, are broadcast. Any order gives right results; frequent shingles last gives short index lists.
 2. Index lists. Linked sets share a shingle among the first n - ceil(percent * n / 100) + 1 of each in that order.
    Shingles that only one class holds there are dropped after a min/max of fingerprints, partly computed before the shuffle.
-3. Pivots. The smallest set of each list is its pivot. Every other set of the list is compared with the pivot once, and
-   the size of their intersection is kept. Links found so far are contracted to components.
+3. Pivots. The smallest set of each list is its pivot. Other sets that share many enough lists with it are compared with
+   it, and the size of their intersection is kept. Links found so far are contracted to components.
 4. Skipping. What is left are pairs of one list in different components. Their answers are first derived from the pivot's:
    |A & B| <= |A & P| + |B - P|, both known. A list is cut into blocks by set size; pairs of blocks are skipped by
-   the sizes, the positions and the derived bounds of their ends, then single pairs likewise. Pairs that remain are compared.
+   the sizes, the positions and the derived bounds of their ends, then single pairs likewise. Of pairs that remain, those
+   that share too few lists for a link are left out, the others are compared.
 5. Components of all links, joined back to the classes and their documents.
 
 A list with very many sets is dealt as pairs of salted parts, so no task gathers it, and sets that the derived bound
@@ -169,7 +170,8 @@ def _pairs(percent: int):
                     good &= side[a] != side[b]
                 a, b = a[good], b[good]
                 if len(a):
-                    yield np.minimum(sig[a], sig[b]), np.maximum(sig[a], sig[b])
+                    a, b = np.where(sig[a] < sig[b], a, b), np.where(sig[a] < sig[b], b, a)
+                    yield sig[a], sig[b], size[a], size[b]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key = [], None
@@ -177,8 +179,8 @@ def _pairs(percent: int):
         def done():
             if held:
                 columns_ = [np.concatenate(c) for c in zip(*held, strict=True)]
-                for a, b in of_list(*columns_, same=key[1] == key[2]):
-                    yield pa.record_batch([longs(a), longs(b)], names=["a", "b"])
+                for found in of_list(*columns_, same=key[1] == key[2]):
+                    yield pa.record_batch([longs(x) for x in found], names=["a", "b", "na", "nb"])
 
         for batch in batches:
             token, i, j, *rest = (c.to_numpy() for c in batch.columns)
@@ -193,12 +195,23 @@ def _pairs(percent: int):
     return run
 
 
-def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _compare(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """a, b, na, nb, both: the sizes of two sets and of what they share, for each pair (a, b) of fingerprints."""
+    pairs = keep(pairs.select("a", "b"))
+    asked = keep(pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct())
+    sets = texts.mapInArrow(_sets(n, "sets", percent), "sig long, size long, tokens binary").join(broadcast_if_small(asked, SMALL_ROWS), "sig", "left_semi")
+    sets = keep(sets.dropDuplicates(["sig"]))
     x, y = (sets.select(F.col("sig").alias(k), F.col("tokens").alias(f"set_{k}")) for k in "ab")
     return keep(pairs.join(x, "a").join(y, "b").select("a", "b", "set_a", "set_b").mapInArrow(_overlaps, "a long, b long, na long, nb long, both long"))
 
 
+def _enough(percent: int) -> str:
+    """Whether two sets of na and nb shingles that share ``count`` of their first ones can link: the one whose first ones end earlier has no other match before, and only the rest after."""
+    need = f"(({percent} * (na + nb) + {99 + percent}) div {100 + percent})"
+    rest = f"(({percent} * greatest(na, nb) + 99) div 100 - 1)"
+    return f"count + {rest} >= {need}"
+
+
 def heavy_shingles(docs: DataFrame, n: int = N) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles, at most ``HEAVY``, by hash, and their counts."""
     counted = docs.select("text").mapInArrow(_count_shingles(n), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY_COUNT)
@@ -214,17 +227,15 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     texts = docs.select("text")
     heavy = spark.sparkContext.broadcast(heavy_shingles(docs, n))
     postings = texts.mapInArrow(_sets(n, "postings", percent, heavy), "token long, sig long, size int, pos int")
-    shared = keep(postings.groupBy("token").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo != hi").select("token"))
-    lists = keep(postings.join(broadcast_if_small(shared, SMALL_ROWS), "token").distinct())
-
-    asked = keep(lists.select("sig").distinct())
-    sets = keep(texts.mapInArrow(_sets(n, "sets", percent), "sig long, size long, tokens binary").join(broadcast_if_small(asked, SMALL_ROWS), "sig").dropDuplicates(["sig"]))
+    shared = postings.groupBy("token").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo != hi").select("token")
+    lists = keep(postings.join(shared, "token").distinct())
     similar = F.expr(f"100 * both >= {percent} * (na + nb - both)")
 
     pivots = keep(lists.groupBy("token").agg(F.min(F.struct("size", "sig")).alias("p")).select("token", F.col("p.sig").alias("pivot"), F.col("p.size").alias("pivot_size")))
     member = keep(lists.join(pivots, "token"))
-    star = member.where(f"sig != pivot and 100 * pivot_size >= {percent} * size").select(F.least("sig", "pivot").alias("a"), F.greatest("sig", "pivot").alias("b")).distinct()
-    first = _compare(star, sets)
+    met = member.where(f"sig != pivot and 100 * pivot_size >= {percent} * size").groupBy("pivot", "sig", F.col("pivot_size").alias("na"), F.col("size").alias("nb")).count()
+    star = met.where(_enough(percent)).select(F.least("sig", "pivot").alias("a"), F.greatest("sig", "pivot").alias("b")).distinct()
+    first = _compare(star, texts, n, percent)
     contracted = components(first.where(similar))
 
     # the pivot's answers: what each member shares with it, as large as may be where they were not compared
@@ -234,7 +245,7 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     centre = known.where("sig = pivot").select("token", F.col("comp").alias("centre")).distinct()
     known = known.join(centre, "token")
     mixed = known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.when(F.col("comp") != F.col("centre"), F.col("met"))).alias("outer_met"), F.count("*").alias("members")).where("lo != hi")
-    left = known.join(mixed, "token").where(f"sig != pivot and (comp != centre or 100 * (outer_met + size - met) >= {percent} * size)")
+    left = known.join(mixed, "token").where(f"comp != centre or 100 * (outer_met + size - met) >= {percent} * size")
     # a long list is dealt as pairs (i <= j) of parts
     parts = (F.col("members") / PART).cast("int") + 1
     mine = F.pmod(F.xxhash64("sig"), parts).cast("int")
@@ -245,11 +256,13 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
         dealt.select("token", "at.i", "at.j", "sig", "size", "pos", "comp", "met", "side")
         .repartition("token", "i", "j")
         .sortWithinPartitions("token", "i", "j")
-        .mapInArrow(_pairs(percent), "a long, b long")
-        .distinct()
+        .mapInArrow(_pairs(percent), "a long, b long, na long, nb long")
+        .groupBy("a", "b", "na", "nb")
+        .count()
+        .where(_enough(percent))
         .join(first.select("a", "b"), ["a", "b"], "left_anti")
     )
-    return first.where(similar).unionByName(_compare(pairs, sets).where(similar))
+    return first.where(similar).unionByName(_compare(pairs, texts, n, percent).where(similar))
 
 
 def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
