@@ -11,21 +11,29 @@ from .common import keep
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the least node reachable from each node of ``links`` (a, b), two long columns, in any direction.
 
-    Each round, every node and its present root take the least root among the node's neighbours, then roots are shortened
-    through their own roots, so the number of rounds grows with the logarithm of a component's width. Minima are partly
-    computed before each shuffle, so a node with very many links weighs on no single task.
+    Each round, every node takes the least of itself and its neighbours, then what that one took; links are rewritten to
+    what their ends took, and those within one node, and repeated ones, go. Every node that still has links merges with
+    another, so links and rounds shrink geometrically. The least node always takes itself, so it names its component.
+    Minima are partly computed before each shuffle, so a node with very many links weighs on no single task.
     """
-    both = keep(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())
-    roots = keep(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).select(F.col("a").alias("node"), "root"))
-    while True:
-        of = roots.select(F.col("node").alias("b"), F.col("root").alias("theirs"))
-        least = both.join(of, "b").groupBy(F.col("a").alias("node")).agg(F.min("theirs").alias("theirs"))
-        met = roots.join(least, "node")
-        hooked = met.select("node", F.least("root", "theirs").alias("to")).unionByName(met.select(F.col("root").alias("node"), F.least("root", "theirs").alias("to"))).groupBy("node").agg(F.min("to").alias("to"))
-        above = hooked.select(F.col("node").alias("to"), F.col("to").alias("further"))
-        short = hooked.join(above, "to").select("node", F.least("to", "further").alias("root"))
-        new = keep(roots.select("node", F.col("root").alias("old")).join(short, "node"))
-        changed = not new.where("root != old").isEmpty()
-        roots = new.select("node", "root")
-        if not changed:
-            return roots.select("node", F.col("root").alias("component"))
+    links = keep(_both_ways(links.select("a", "b")))
+    roots = None
+    while not links.isEmpty():
+        took = keep(links.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("up")))
+        further = took.select(F.col("node").alias("up"), F.col("up").alias("root"))
+        level = keep(took.join(further, "up").select("node", "root"))
+        if roots is None:
+            roots = level
+        else:
+            roots = keep(roots.join(level.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root")))
+        ends = links.where("a < b")
+        for end in "ab":
+            ends = ends.join(level.select(F.col("node").alias(end), F.col("root").alias(f"to_{end}")), end)
+        links = keep(_both_ways(ends.select(F.col("to_a").alias("a"), F.col("to_b").alias("b"))))
+    if roots is None:
+        return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return roots.select("node", F.col("root").alias("component"))
+
+
+def _both_ways(links: DataFrame) -> DataFrame:
+    return links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct()

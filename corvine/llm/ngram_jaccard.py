@@ -45,6 +45,8 @@ HEAVY, HEAVY_COUNT = 1 << 20, 8
 SMALL_ROWS = 1_000_000
 #: Sets of one list in one task; a longer list is dealt as pairs of parts.
 PART, BLOCK = 4096, 128
+#: Pairs that a task holds to sum them.
+HELD_PAIRS = 1 << 21
 
 
 def shingle_sets(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -173,24 +175,38 @@ def _pairs(percent: int):
                     a, b = np.where(sig[a] < sig[b], a, b), np.where(sig[a] < sig[b], b, a)
                     yield sig[a], sig[b], size[a], size[b]
 
+    def summed(found: list) -> pa.RecordBatch:
+        """One row for each pair, with the number of lists that gave it."""
+        a, b, na, nb = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.lexsort((b, a))
+        a, b, na, nb = (c[order] for c in (a, b, na, nb))
+        new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        return pa.record_batch([longs(c[new]) for c in (a, b, na, nb)] + [longs(np.diff(np.r_[new, len(a)]))], names=["a", "b", "na", "nb", "count"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key = [], None
+        held, key, found, many = [], None, [], 0
 
         def done():
             if held:
                 columns_ = [np.concatenate(c) for c in zip(*held, strict=True)]
-                for found in of_list(*columns_, same=key[1] == key[2]):
-                    yield pa.record_batch([longs(x) for x in found], names=["a", "b", "na", "nb"])
+                yield from of_list(*columns_, same=key[2] == key[3])
 
         for batch in batches:
-            token, i, j, *rest = (c.to_numpy() for c in batch.columns)
+            pivot, token, i, j, *rest = (c.to_numpy() for c in batch.columns)
             cuts = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]) if len(token) else []
             for a, b in zip(cuts, [*cuts[1:], len(token)], strict=True):
-                if (now := (token[a], i[a], j[a])) != key:
-                    yield from done()
+                if (now := (pivot[a], token[a], i[a], j[a])) != key:
+                    for part in done():
+                        found.append(part)
+                        many += len(part[0])
+                    if many >= HELD_PAIRS or found and key[0] != now[0] and many >= HELD_PAIRS // 64:
+                        yield summed(found)
+                        found, many = [], 0
                     held, key = [], now
                 held.append([c[a:b].astype(np.int64) for c in rest])
-        yield from done()
+        found += done()
+        if found:
+            yield summed(found)
 
     return run
 
@@ -222,7 +238,7 @@ def heavy_shingles(docs: DataFrame, n: int = N) -> tuple[np.ndarray, np.ndarray]
 
 
 def linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """(a, b, na, nb, both) of fingerprints of different sets: links enough to connect what is connected, each one exact."""
+    """(a, b), fingerprints of different sets: links enough to connect what is connected, each one exact or between ends of exact ones."""
     spark = docs.sparkSession
     texts = docs.select("text")
     heavy = spark.sparkContext.broadcast(heavy_shingles(docs, n))
@@ -249,20 +265,22 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     # a long list is dealt as pairs (i <= j) of parts
     parts = (F.col("members") / PART).cast("int") + 1
     mine = F.pmod(F.xxhash64("sig"), parts).cast("int")
-    dealt = left.select("token", "sig", "size", "pos", "comp", "met", parts.alias("parts"), mine.alias("side")).select(
+    dealt = left.select("pivot", "token", "sig", "size", "pos", "comp", "met", parts.alias("parts"), mine.alias("side")).select(
         "*", F.explode(F.expr("transform(sequence(0, parts - 1), other -> struct(least(side, other) as i, greatest(side, other) as j))")).alias("at")
     )
     pairs = (
-        dealt.select("token", "at.i", "at.j", "sig", "size", "pos", "comp", "met", "side")
-        .repartition("token", "i", "j")
-        .sortWithinPartitions("token", "i", "j")
-        .mapInArrow(_pairs(percent), "a long, b long, na long, nb long")
+        dealt.select("pivot", "token", "at.i", "at.j", "sig", "size", "pos", "comp", "met", "side")
+        .repartition("pivot", "i", "j")  # lists of one pivot mostly give the same pairs
+        .sortWithinPartitions("pivot", "i", "j", "token")
+        .mapInArrow(_pairs(percent), "a long, b long, na long, nb long, count long")
         .groupBy("a", "b", "na", "nb")
-        .count()
+        .agg(F.sum("count").alias("count"))
         .where(_enough(percent))
         .join(first.select("a", "b"), ["a", "b"], "left_anti")
     )
-    return first.where(similar).unionByName(_compare(pairs, texts, n, percent).where(similar))
+    # what the first links connect is known by its component
+    known_links = contracted.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return known_links.unionByName(_compare(pairs, texts, n, percent).where(similar).select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
