@@ -8,10 +8,11 @@ fingerprints of the set; only classes are compared.
    table of fixed size, are broadcast. Any order gives right results; frequent shingles last gives short index lists.
 2. Index lists. Linked sets share a shingle among the first n - ceil(percent * n / 100) + 1 of each in that order.
    Shingles that only one class holds there are dropped after a min/max of fingerprints, partly computed before the shuffle.
-3. Pivots. The smallest set of each list is its pivot. Other sets that share many enough lists with it are compared with
-   it, and the size of their intersection is kept. Links found so far are contracted to components.
+3. Pivots. The smallest set of each list is its pivot. A set is compared with the pivot it shares most lists with, and in
+   lists that these links don't connect with the other pivots that may link; the size of the intersection is kept.
+   Links found so far are contracted to components.
 4. Skipping. What is left are pairs of one list in different components. Their answers are first derived from the pivot's:
-   |A & B| <= |A & P| + |B - P|, both known. A list is cut into blocks by set size; pairs of blocks are skipped by
+   |A & B| <= |A & P| + |B - P|, both known or bounded (sets that were not compared with P share one shingle at least). A list is cut into blocks by set size; pairs of blocks are skipped by
    the sizes, the positions and the derived bounds of their ends, then single pairs likewise. Of pairs that remain, those
    that share too few lists for a link are left out, the others are compared.
 5. Components of all links, joined back to the classes and their documents.
@@ -47,6 +48,8 @@ SMALL_ROWS = 1_000_000
 PART, BLOCK = 4096, 128
 #: Pairs that a task holds to sum them.
 HELD_PAIRS = 1 << 21
+#: Fingerprints that a task remembers, so as not to give the sets of copies again.
+SEEN = 1 << 20
 
 
 def shingle_sets(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,9 +100,24 @@ def _count_shingles(n: int, block: int = 1 << 22):
 
 
 def _sets(n: int, what: str, percent: int, heavy=None):
-    """what: "classes" (key, size, fingerprints), "postings" (token, sig, size, pos) or "sets" (sig, size, tokens as bytes)."""
+    """what: "classes" (key, size, fingerprints), "postings" (token, sig, size, pos) or "sets" (sig, size, tokens as bytes).
+
+    The last two leave out sets that the task has just given: ``SEEN`` fingerprints are remembered.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+
+        def fresh(sig: np.ndarray, size: np.ndarray) -> np.ndarray:
+            if len(seen) > SEEN:
+                seen.clear()
+            out = np.zeros(len(sig), bool)
+            for at, one in enumerate(sig.tolist()):
+                if size[at] and one not in seen:
+                    seen.add(one)
+                    out[at] = True
+            return out
+
         for batch in batches:
             for i, j, data, offsets in columns(batch, "text", lower=True):
                 w = Words(data, offsets)
@@ -107,11 +125,15 @@ def _sets(n: int, what: str, percent: int, heavy=None):
                 size, sig, sig2 = _fingerprints(texts, tokens, j - i)
                 if what == "classes":
                     yield pa.record_batch([batch.column(0).slice(i, j - i), longs(size), longs(sig), longs(sig2)], names=["doc_id", "n_shingles", "sig", "sig2"])
-                elif what == "sets":
+                    continue
+                new = fresh(sig, size)
+                if what == "sets":
                     ends = np.cumsum(size)
-                    raw = [tokens[e - s : e].tobytes() for s, e in zip(size.tolist(), ends.tolist(), strict=True)]
-                    yield pa.record_batch([longs(sig), longs(size), pa.array(raw, pa.binary())], names=["sig", "size", "tokens"])
-                elif len(tokens):
+                    raw = [tokens[e - s : e].tobytes() for s, e in zip(size[new].tolist(), ends[new].tolist(), strict=True)]
+                    yield pa.record_batch([longs(sig[new]), longs(size[new]), pa.array(raw, pa.binary())], names=["sig", "size", "tokens"])
+                elif new.any():
+                    mine = new[texts]
+                    texts, tokens, size = texts[mine], tokens[mine], np.where(new, size, 0)
                     often, counts = heavy.value
                     weight = np.zeros(len(tokens), np.int64)
                     if len(often):
@@ -146,10 +168,10 @@ def _pairs(percent: int):
     def need(m, n):
         return -(-percent * (m + n) // (100 + percent))
 
-    def of_list(sig, size, pos, comp, met, side, same: bool):
+    def of_list(sig, size, pos, comp, met, low, side, same: bool):
         order = np.argsort(size, kind="stable")
-        sig, size, pos, comp, met, side = (v[order] for v in (sig, size, pos, comp, met, side))
-        rest, apart = size - pos - 1, size - met  # what may follow the shared shingle; what the pivot lacks
+        sig, size, pos, comp, met, low, side = (v[order] for v in (sig, size, pos, comp, met, low, side))
+        rest, apart = size - pos - 1, size - low  # what may follow the shared shingle; what the pivot may lack, at most
         for i in range(0, len(sig), BLOCK):
             x = slice(i, i + BLOCK)
             for j in range(i, len(sig), BLOCK):
@@ -211,19 +233,24 @@ def _pairs(percent: int):
     return run
 
 
-def _compare(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b, na, nb, both: the sizes of two sets and of what they share, for each pair (a, b) of fingerprints."""
-    pairs = keep(pairs.select("a", "b"))
-    asked = keep(pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct())
-    sets = texts.mapInArrow(_sets(n, "sets", percent), "sig long, size long, tokens binary").join(broadcast_if_small(asked, SMALL_ROWS), "sig", "left_semi")
-    sets = keep(sets.dropDuplicates(["sig"]))
     x, y = (sets.select(F.col("sig").alias(k), F.col("tokens").alias(f"set_{k}")) for k in "ab")
-    return keep(pairs.join(x, "a").join(y, "b").select("a", "b", "set_a", "set_b").mapInArrow(_overlaps, "a long, b long, na long, nb long, both long"))
+    return keep(pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "set_a", "set_b").mapInArrow(_overlaps, "a long, b long, na long, nb long, both long"))
+
+
+def _need(percent: int, m: str, n: str) -> str:
+    """What two sets of m and n shingles share at least if they link."""
+    return f"(({percent} * ({m} + {n}) + {99 + percent}) div {100 + percent})"
+
+
+def _pair(x: str, y: str) -> tuple:
+    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
 def _enough(percent: int) -> str:
     """Whether two sets of na and nb shingles that share ``count`` of their first ones can link: the one whose first ones end earlier has no other match before, and only the rest after."""
-    need = f"(({percent} * (na + nb) + {99 + percent}) div {100 + percent})"
+    need = _need(percent, "na", "nb")
     rest = f"(({percent} * greatest(na, nb) + 99) div 100 - 1)"
     return f"count + {rest} >= {need}"
 
@@ -249,27 +276,38 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
 
     pivots = keep(lists.groupBy("token").agg(F.min(F.struct("size", "sig")).alias("p")).select("token", F.col("p.sig").alias("pivot"), F.col("p.size").alias("pivot_size")))
     member = keep(lists.join(pivots, "token"))
+    indexed = broadcast_if_small(keep(lists.select("sig").distinct()), SMALL_ROWS)
+    sets = keep(texts.mapInArrow(_sets(n, "sets", percent), "sig long, size long, tokens binary").join(indexed, "sig", "left_semi").dropDuplicates(["sig"]))
     met = member.where(f"sig != pivot and 100 * pivot_size >= {percent} * size").groupBy("pivot", "sig", F.col("pivot_size").alias("na"), F.col("size").alias("nb")).count()
-    star = met.where(_enough(percent)).select(F.least("sig", "pivot").alias("a"), F.greatest("sig", "pivot").alias("b")).distinct()
-    first = _compare(star, texts, n, percent)
+    star = keep(met.where(_enough(percent)).select("pivot", "sig", "count"))
+    # each set first with the pivot it shares most lists with; then, in lists that these links leave mixed, with the others
+    best = star.groupBy("sig").agg(F.min(F.struct((-F.col("count")).alias("less"), "pivot")).alias("p")).select(*_pair("sig", "p.pivot")).distinct()
+    first = _compare(best, sets)
+    joined = components(first.where(similar))
+    by_list = member.join(joined.withColumnRenamed("node", "sig"), "sig", "left").groupBy("token").agg(F.min(F.coalesce("component", "sig")).alias("lo"), F.max(F.coalesce("component", "sig")).alias("hi"))
+    member = keep(member.join(by_list.where("lo != hi").select("token"), "token"))
+    others = member.select("pivot", "sig").distinct().join(star, ["pivot", "sig"]).select(*_pair("sig", "pivot")).distinct()
+    first = first.unionByName(_compare(others.join(first, ["a", "b"], "left_anti"), sets))
     contracted = components(first.where(similar))
 
-    # the pivot's answers: what each member shares with it, as large as may be where they were not compared
+    # the pivot's answers: what each member shares with it, at most and at least
     answers = first.select("a", "b", "both").unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b"), "both")).select(F.col("a").alias("sig"), F.col("b").alias("pivot"), "both")
     known = member.join(answers, ["sig", "pivot"], "left").join(contracted.withColumnRenamed("node", "sig"), "sig", "left")
-    known = keep(known.select("token", "sig", "size", "pos", "pivot", F.coalesce("component", "sig").alias("comp"), F.when(F.col("sig") == F.col("pivot"), F.col("size")).otherwise(F.coalesce("both", F.least("size", "pivot_size"))).alias("met")))
+    exact = F.when(F.col("sig") == F.col("pivot"), F.col("size")).otherwise(F.col("both"))
+    most = F.least("size", "pivot_size")  # they may link: they can share lists that have another pivot
+    known = keep(known.select("token", "sig", "size", "pos", "pivot", F.coalesce("component", "sig").alias("comp"), F.coalesce(exact, most).alias("met"), F.coalesce(exact, F.lit(1)).alias("low")))
     centre = known.where("sig = pivot").select("token", F.col("comp").alias("centre")).distinct()
     known = known.join(centre, "token")
     mixed = known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.when(F.col("comp") != F.col("centre"), F.col("met"))).alias("outer_met"), F.count("*").alias("members")).where("lo != hi")
-    left = known.join(mixed, "token").where(f"comp != centre or 100 * (outer_met + size - met) >= {percent} * size")
+    left = known.join(mixed, "token").where(f"comp != centre or 100 * (outer_met + size - low) >= {percent} * size")
     # a long list is dealt as pairs (i <= j) of parts
     parts = (F.col("members") / PART).cast("int") + 1
     mine = F.pmod(F.xxhash64("sig"), parts).cast("int")
-    dealt = left.select("pivot", "token", "sig", "size", "pos", "comp", "met", parts.alias("parts"), mine.alias("side")).select(
+    dealt = left.select("pivot", "token", "sig", "size", "pos", "comp", "met", "low", parts.alias("parts"), mine.alias("side")).select(
         "*", F.explode(F.expr("transform(sequence(0, parts - 1), other -> struct(least(side, other) as i, greatest(side, other) as j))")).alias("at")
     )
     pairs = (
-        dealt.select("pivot", "token", "at.i", "at.j", "sig", "size", "pos", "comp", "met", "side")
+        dealt.select("pivot", "token", "at.i", "at.j", "sig", "size", "pos", "comp", "met", "low", "side")
         .repartition("pivot", "i", "j")  # lists of one pivot mostly give the same pairs
         .sortWithinPartitions("pivot", "i", "j", "token")
         .mapInArrow(_pairs(percent), "a long, b long, na long, nb long, count long")
@@ -280,7 +318,7 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     )
     # what the first links connect is known by its component
     known_links = contracted.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    return known_links.unionByName(_compare(pairs, texts, n, percent).where(similar).select("a", "b"))
+    return known_links.unionByName(_compare(pairs, sets).where(similar).select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:

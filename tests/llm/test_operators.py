@@ -70,6 +70,33 @@ def test_ngram_jaccard(docs):
     assert grouped(ngram_jaccard.near_duplicates(docs).select("doc_id", "n_shingles", "component_id").collect()) == grouped(want)
 
 
+def test_ngram_jaccard_near_the_threshold(spark):
+    """Families of sets around a similarity of 0.8, where bounds from pivots decide."""
+    r = random.Random(7)
+    texts = []
+    for c in range(60):
+        base, pool = [f"w{c}_{i}" for i in range(r.randint(8, 40))], [f"x{c % 7}_{i}" for i in range(12)]
+        rate = r.choice([0.03, 0.06, 0.1, 0.15])
+        for _ in range(r.choice([2, 5, 20, 60])):
+            t = [w if r.random() > rate else r.choice(pool) for w in base]
+            texts.append(" ".join(t[: r.randint(len(t) * 3 // 4, len(t))] if r.random() < 0.3 else t))
+    sets = [frozenset(t.split()) for t in texts]
+    root = list(range(len(sets)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if 100 * len(x & y) >= 80 * len(x | y):
+                a, b = top(i), top(j)
+                root[max(a, b)] = min(a, b)
+    got = ngram_jaccard.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), n=1)
+    assert {x.doc_id: x.component_id for x in got.collect()} == {i: top(i) for i in range(len(sets))}
+
+
 def test_components(spark):
     r = random.Random(1)
     links = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)]
