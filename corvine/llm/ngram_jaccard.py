@@ -235,8 +235,11 @@ def _pairs(percent: int):
 
 def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b, na, nb, both: the sizes of two sets and of what they share, for each pair (a, b) of fingerprints."""
+    pairs = keep(pairs.select("a", "b"))
+    asked = keep(pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct())
+    sets = sets.join(broadcast_if_small(asked, SMALL_ROWS), "sig", "left_semi")  # only these are dealt out
     x, y = (sets.select(F.col("sig").alias(k), F.col("tokens").alias(f"set_{k}")) for k in "ab")
-    return keep(pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "set_a", "set_b").mapInArrow(_overlaps, "a long, b long, na long, nb long, both long"))
+    return keep(pairs.join(x, "a").join(y, "b").select("a", "b", "set_a", "set_b").mapInArrow(_overlaps, "a long, b long, na long, nb long, both long"))
 
 
 def _need(percent: int, m: str, n: str) -> str:
