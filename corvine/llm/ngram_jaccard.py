@@ -8,12 +8,13 @@ fingerprints of the set; only classes are compared.
    table of fixed size, are broadcast. Any order gives right results; frequent shingles last gives short index lists.
 2. Index lists. Linked sets share a shingle among the first n - ceil(percent * n / 100) + 1 of each in that order.
    Shingles that only one class holds there are dropped after a min/max of fingerprints, partly computed before the shuffle.
-3. Pivots. The smallest set of each list is its pivot. A set is compared with the pivot it shares most lists with, and in
+3. Pivots. The set of each list with the fewest shingles before the shared one is its pivot: the least edited of a group
+   of copies, so that the others' answers follow from it. A set is compared with the pivot it shares most lists with, and in
    lists that these links don't connect with the other pivots that may link; the size of the intersection is kept.
    Links found so far are contracted to components.
 4. Skipping. What is left are pairs of one list in different components. Their answers are first derived from the pivot's:
    |A & B| <= |A & P| + |B - P|, both known or bounded (sets that were not compared with P share one shingle at least). A list is cut into blocks by set size; pairs of blocks are skipped by
-   the sizes, the positions and the derived bounds of their ends, then single pairs likewise. Of pairs that remain, those
+   the sizes, the positions (of them, what precedes in kept lists: dropped shingles match nothing) and the derived bounds of their ends, then single pairs likewise. Of pairs that remain, those
    that share too few lists for a link are left out, the others are compared.
 5. Components of all links, joined back to the classes and their documents.
 
@@ -33,6 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, keep, table
@@ -168,10 +170,10 @@ def _pairs(percent: int):
     def need(m, n):
         return -(-percent * (m + n) // (100 + percent))
 
-    def of_list(sig, size, pos, comp, met, low, side, same: bool):
+    def of_list(sig, size, rank, rest, comp, met, low, side, same: bool):
         order = np.argsort(size, kind="stable")
-        sig, size, pos, comp, met, low, side = (v[order] for v in (sig, size, pos, comp, met, low, side))
-        rest, apart = size - pos - 1, size - low  # what may follow the shared shingle; what the pivot may lack, at most
+        sig, size, rank, rest, comp, met, low, side = (v[order] for v in (sig, size, rank, rest, comp, met, low, side))
+        apart = size - low  # what the pivot may lack, at most
         for i in range(0, len(sig), BLOCK):
             x = slice(i, i + BLOCK)
             for j in range(i, len(sig), BLOCK):
@@ -179,7 +181,7 @@ def _pairs(percent: int):
                 if 100 * size[x][-1] < percent * size[y][0]:
                     break
                 least = need(size[x][0], size[y][0])
-                if np.minimum(pos[x].max(), pos[y].max()) + 1 + np.minimum(rest[x].max(), rest[y].max()) < least:
+                if np.minimum(rank[x].max(), rank[y].max()) + 1 + np.minimum(rest[x].max(), rest[y].max()) < least:
                     continue
                 if met[x].max() + apart[y].max() < least or met[y].max() + apart[x].max() < least:
                     continue
@@ -188,7 +190,7 @@ def _pairs(percent: int):
                 a, b = (g.ravel() for g in np.meshgrid(np.arange(i, min(i + BLOCK, len(sig))), np.arange(j, min(j + BLOCK, len(sig))), indexing="ij"))
                 least = need(size[a], size[b])
                 good = (a < b) & (comp[a] != comp[b]) & (100 * size[a] >= percent * size[b])
-                good &= np.minimum(pos[a], pos[b]) + 1 + np.minimum(rest[a], rest[b]) >= least
+                good &= np.minimum(rank[a], rank[b]) + 1 + np.minimum(rest[a], rest[b]) >= least
                 good &= (met[a] + apart[b] >= least) & (met[b] + apart[a] >= least)
                 if not same:
                     good &= side[a] != side[b]
@@ -274,14 +276,16 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     heavy = spark.sparkContext.broadcast(heavy_shingles(docs, n))
     postings = texts.mapInArrow(_sets(n, "postings", percent, heavy), "token long, sig long, size int, pos int")
     shared = postings.groupBy("token").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo != hi").select("token")
-    lists = keep(postings.join(shared, "token").distinct())
+    # rank: the set's kept shingles before this one; only they can match before it
+    ordered = W.partitionBy("sig").orderBy("pos")
+    lists = keep(postings.join(shared, "token").distinct().withColumn("rank", F.row_number().over(ordered) - 1))
     similar = F.expr(f"100 * both >= {percent} * (na + nb - both)")
 
-    pivots = keep(lists.groupBy("token").agg(F.min(F.struct("size", "sig")).alias("p")).select("token", F.col("p.sig").alias("pivot"), F.col("p.size").alias("pivot_size")))
+    pivots = keep(lists.groupBy("token").agg(F.min(F.struct("pos", "size", "sig")).alias("p")).select("token", F.col("p.sig").alias("pivot"), F.col("p.size").alias("pivot_size")))
     member = keep(lists.join(pivots, "token"))
     indexed = broadcast_if_small(keep(lists.select("sig").distinct()), SMALL_ROWS)
     sets = keep(texts.mapInArrow(_sets(n, "sets", percent), "sig long, size long, tokens binary").join(indexed, "sig", "left_semi").dropDuplicates(["sig"]))
-    met = member.where(f"sig != pivot and 100 * pivot_size >= {percent} * size").groupBy("pivot", "sig", F.col("pivot_size").alias("na"), F.col("size").alias("nb")).count()
+    met = member.where(f"sig != pivot and 100 * least(size, pivot_size) >= {percent} * greatest(size, pivot_size)").groupBy("pivot", "sig", F.col("pivot_size").alias("na"), F.col("size").alias("nb")).count()
     star = keep(met.where(_enough(percent)).select("pivot", "sig", "count"))
     # each set first with the pivot it shares most lists with; then, in lists that these links leave mixed, with the others
     best = star.groupBy("sig").agg(F.min(F.struct((-F.col("count")).alias("less"), "pivot")).alias("p")).select(*_pair("sig", "p.pivot")).distinct()
@@ -298,7 +302,7 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     known = member.join(answers, ["sig", "pivot"], "left").join(contracted.withColumnRenamed("node", "sig"), "sig", "left")
     exact = F.when(F.col("sig") == F.col("pivot"), F.col("size")).otherwise(F.col("both"))
     most = F.least("size", "pivot_size")  # they may link: they can share lists that have another pivot
-    known = keep(known.select("token", "sig", "size", "pos", "pivot", F.coalesce("component", "sig").alias("comp"), F.coalesce(exact, most).alias("met"), F.coalesce(exact, F.lit(1)).alias("low")))
+    known = keep(known.select("token", "sig", "size", "rank", (F.col("size") - F.col("pos") - 1).alias("rest"), "pivot", F.coalesce("component", "sig").alias("comp"), F.coalesce(exact, most).alias("met"), F.coalesce(exact, F.lit(1)).alias("low")))
     centre = known.where("sig = pivot").select("token", F.col("comp").alias("centre")).distinct()
     known = known.join(centre, "token")
     mixed = known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.when(F.col("comp") != F.col("centre"), F.col("met"))).alias("outer_met"), F.count("*").alias("members")).where("lo != hi")
@@ -306,11 +310,11 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     # a long list is dealt as pairs (i <= j) of parts
     parts = (F.col("members") / PART).cast("int") + 1
     mine = F.pmod(F.xxhash64("sig"), parts).cast("int")
-    dealt = left.select("pivot", "token", "sig", "size", "pos", "comp", "met", "low", parts.alias("parts"), mine.alias("side")).select(
+    dealt = left.select("pivot", "token", "sig", "size", "rank", "rest", "comp", "met", "low", parts.alias("parts"), mine.alias("side")).select(
         "*", F.explode(F.expr("transform(sequence(0, parts - 1), other -> struct(least(side, other) as i, greatest(side, other) as j))")).alias("at")
     )
     pairs = (
-        dealt.select("pivot", "token", "at.i", "at.j", "sig", "size", "pos", "comp", "met", "low", "side")
+        dealt.select("pivot", "token", "at.i", "at.j", "sig", "size", "rank", "rest", "comp", "met", "low", "side")
         .repartition("pivot", "i", "j")  # lists of one pivot mostly give the same pairs
         .sortWithinPartitions("pivot", "i", "j", "token")
         .mapInArrow(_pairs(percent), "a long, b long, na long, nb long, count long")
