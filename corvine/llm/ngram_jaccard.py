@@ -62,8 +62,12 @@ def shingle_sets(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(few):
         texts = np.concatenate([texts, few])
         tokens = np.concatenate([tokens, spans_hash(w.hash, w.bounds[few], w.bounds[few + 1], WORD_BASE)])
-    order = np.lexsort((tokens, texts))
-    texts, tokens = texts[order], tokens[order]
+        order = np.argsort(texts, kind="stable")
+        texts, tokens = texts[order], tokens[order]
+    start = 0
+    for end in (np.flatnonzero(texts[1:] != texts[:-1]) + 1).tolist() + [len(texts)]:
+        tokens[start:end].sort()  # each text's by itself: far faster than all together by two keys
+        start = end
     new = np.r_[True, (tokens[1:] != tokens[:-1]) | (texts[1:] != texts[:-1])] if len(tokens) else np.zeros(0, bool)
     return texts[new], tokens[new]
 
@@ -141,7 +145,8 @@ def _sets(n: int, what: str, percent: int, heavy=None):
                     if len(often):
                         at = np.minimum(np.searchsorted(often, tokens), len(often) - 1)
                         weight = np.where(often[at] == tokens, counts[at], 0)
-                    order = np.lexsort((tokens, weight, texts))
+                    # tokens are in order within each text, and stay so where weights tie
+                    order = np.argsort((texts.astype(np.int64) << 40) | np.minimum(weight, (1 << 40) - 1), kind="stable")
                     pos = np.arange(len(tokens)) - np.repeat(np.cumsum(size) - size, size)
                     first = pos < (size - -(-percent * size // 100) + 1)[texts]
                     yield pa.record_batch([longs(tokens[order][first]), longs(sig[texts][first]), pa.array(size[texts][first].astype(np.int32)), pa.array(pos[first].astype(np.int32))], names=["token", "sig", "size", "pos"])
