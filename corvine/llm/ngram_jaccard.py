@@ -15,7 +15,8 @@ fingerprints of the set; only classes are compared.
 4. Skipping. What is left are pairs of one list in different components. Their answers are first derived from the pivot's:
    |A & B| <= |A & P| + |B - P|, both known or bounded (sets that were not compared with P share one shingle at least). A list is cut into blocks by set size; pairs of blocks are skipped by
    the sizes, the positions (of them, what precedes in kept lists: dropped shingles match nothing) and the derived bounds of their ends, then single pairs likewise. Of pairs that remain, those
-   that share too few lists for a link are left out, the others are compared.
+   that share too few lists for a link are left out, the others are compared: first each set with the few it shares most
+   lists with, then, with the components that these links make, all that still lie in different ones.
 5. Components of all links, joined back to the classes and their documents.
 
 A list with very many sets is dealt as pairs of salted parts, so no task gathers it, and sets that the derived bound
@@ -48,6 +49,8 @@ HEAVY, HEAVY_COUNT = 1 << 20, 8
 SMALL_ROWS = 1_000_000
 #: Sets of one list in one task; a longer list is dealt as pairs of parts.
 PART, BLOCK = 4096, 128
+#: Sets that each set is compared with before all that may still link it to another component.
+NEAREST = 16
 #: Pairs that a task holds to sum them.
 HELD_PAIRS = 1 << 21
 #: Fingerprints that a task remembers, so as not to give the sets of copies again.
@@ -169,8 +172,8 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), batch.column(1), *sizes, pa.array(out, pa.int64())], names=["a", "b", "na", "nb", "both"])
 
 
-def _pairs(percent: int):
-    """Pairs of a list (rows of one token and two parts, by size) that neither sizes, positions nor the pivot's answers exclude."""
+def _pairs(percent: int, nearest: bool = False):
+    """Pairs of a list (rows of one token and two parts, by size) that neither sizes, positions nor the pivot's answers exclude; ``nearest``: of those held together, each set's ``NEAREST`` with most lists in common."""
 
     def need(m, n):
         return -(-percent * (m + n) // (100 + percent))
@@ -210,7 +213,16 @@ def _pairs(percent: int):
         order = np.lexsort((b, a))
         a, b, na, nb = (c[order] for c in (a, b, na, nb))
         new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        return pa.record_batch([longs(c[new]) for c in (a, b, na, nb)] + [longs(np.diff(np.r_[new, len(a)]))], names=["a", "b", "na", "nb", "count"])
+        count = np.diff(np.r_[new, len(a)])
+        a, b, na, nb = (c[new] for c in (a, b, na, nb))
+        if nearest:
+            ends, most, pair = np.r_[a, b], np.r_[count, count], np.tile(np.arange(len(a)), 2)
+            order = np.lexsort((pair, -most, ends))
+            ends = ends[order]
+            start = np.maximum.accumulate(np.where(np.r_[True, ends[1:] != ends[:-1]], np.arange(len(ends)), 0))
+            some = np.unique(pair[order][np.arange(len(ends)) - start < NEAREST])
+            a, b, na, nb, count = (c[some] for c in (a, b, na, nb, count))
+        return pa.record_batch([longs(c) for c in (a, b, na, nb, count)], names=["a", "b", "na", "nb", "count"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key, found, many = [], None, [], 0
@@ -315,21 +327,29 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     # a long list is dealt as pairs (i <= j) of parts
     parts = (F.col("members") / PART).cast("int") + 1
     mine = F.pmod(F.xxhash64("sig"), parts).cast("int")
-    dealt = left.select("pivot", "token", "sig", "size", "rank", "rest", "comp", "met", "low", parts.alias("parts"), mine.alias("side")).select(
-        "*", F.explode(F.expr("transform(sequence(0, parts - 1), other -> struct(least(side, other) as i, greatest(side, other) as j))")).alias("at")
-    )
-    pairs = (
-        dealt.select("pivot", "token", "at.i", "at.j", "sig", "size", "rank", "rest", "comp", "met", "low", "side")
-        .repartition("pivot", "i", "j")  # lists of one pivot mostly give the same pairs
-        .sortWithinPartitions("pivot", "i", "j", "token")
-        .mapInArrow(_pairs(percent), "a long, b long, na long, nb long, count long")
-        .groupBy("a", "b", "na", "nb")
-        .agg(F.sum("count").alias("count"))
-        .where(_enough(percent))
-        .join(first.select("a", "b"), ["a", "b"], "left_anti")
-    )
+    left = keep(left.select("pivot", "token", "sig", "size", "rank", "rest", "comp", "met", "low", parts.alias("parts"), mine.alias("side")))
+
+    def candidates(members: DataFrame, nearest: bool) -> DataFrame:
+        dealt = members.select("*", F.explode(F.expr("transform(sequence(0, parts - 1), other -> struct(least(side, other) as i, greatest(side, other) as j))")).alias("at"))
+        return (
+            dealt.select("pivot", "token", "at.i", "at.j", "sig", "size", "rank", "rest", "comp", "met", "low", "side")
+            .repartition("pivot", "i", "j")  # lists of one pivot mostly give the same pairs
+            .sortWithinPartitions("pivot", "i", "j", "token")
+            .mapInArrow(_pairs(percent, nearest), "a long, b long, na long, nb long, count long")
+            .groupBy("a", "b", "na", "nb")
+            .agg(F.sum("count").alias("count"))
+            .where(_enough(percent))
+        )
+
+    # links of nearest sets make most other pairs of a group needless
+    near = _compare(candidates(left, True).join(first.select("a", "b"), ["a", "b"], "left_anti"), sets)
+    compared = first.unionByName(near)
+    merged = components(compared.where(similar))
+    moved = keep(merged.where("node != component").select(F.col("node").alias("comp"), F.col("component").alias("now")))
+    left = left.join(broadcast_if_small(moved, SMALL_ROWS), "comp", "left").withColumn("comp", F.coalesce("now", "comp")).drop("now")
+    pairs = candidates(left, False).join(compared.select("a", "b"), ["a", "b"], "left_anti")
     # what the first links connect is known by its component
-    known_links = contracted.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    known_links = merged.select(F.col("node").alias("a"), F.col("component").alias("b"))
     return known_links.unionByName(_compare(pairs, sets).where(similar).select("a", "b"))
 
 
