@@ -204,6 +204,32 @@ def test_classifier(spark):
     assert all(x.kept for x in ordinal_quality.classify(docs, labels.where("false")).collect())
 
 
+def vectors(texts):
+    data = [t.encode() for t in texts]
+    return ordinal_quality.features(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+
+
+def test_classifier_words_without_punctuation():
+    text, index, _ = vectors(["idiot", "(idiot,", "...", ""])
+    held = [set(index[text == i].tolist()) for i in range(4)]
+    assert held[0] < held[1] and len(held[1]) == 3 and len(held[2]) == 1 and not held[0] & held[2] and not held[3]
+
+
+def test_classifier_fit_settles():
+    """No scaling of the fitted model has a lower penalised loss."""
+    r = random.Random(3)
+    grade = np.array([r.choice([0, 1, 2]) for _ in range(400)])
+    row, index, value = vectors([" ".join([f"w{r.randrange(3000)}" for _ in range(60)] + [f"g{g}"]) for g in grade])
+    m = ordinal_quality.fit(grade, row, index, value)
+
+    def loss(scale):
+        scaled = ordinal_quality.Model(m.weights * scale, m.thresholds * scale)
+        c = np.hstack([np.zeros((400, 1)), scaled.below(np.bincount(row, value * scaled.weights[index], 400)), np.ones((400, 1))])
+        return -np.log(c[np.arange(400), grade + 1] - c[np.arange(400), grade]).mean() + ordinal_quality.DECAY / 2 * (scaled.weights**2).sum()
+
+    assert loss(1) < min(loss(0.98), loss(1.02))
+
+
 def test_empty_tables(spark, tmp_path):
     for name, schema in {"documents": SCHEMA, "benchmark": "item_id long, text string", "labels": "doc_id long, quality int, toxic int", "pages": "page_id long, html string", "conversations": "conv_id long, turn long, role string, text string"}.items():
         spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
