@@ -29,6 +29,7 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>\x
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+RAW_END = {name: re.compile(f"</{name}(?=[\\s/>])", re.I | re.A) for name in RAW}
 UNSEEN = frozenset("head script style template noscript iframe noembed noframes object svg math canvas audio video select datalist textarea title".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table ul xmp tr caption thead tbody tfoot".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure".split())
@@ -196,7 +197,7 @@ class _Page:
 
 def render(page: str) -> str:
     """All visible text of an HTML page."""
-    out, at, low = _Page(), 0, None
+    out, at = _Page(), 0
     for_ = TOKEN.search
     while m := for_(page, at):
         out.text(page[at : m.start()])
@@ -215,9 +216,9 @@ def render(page: str) -> str:
                     break
             continue
         if out.start(name, m[3]) and name in RAW:
-            low = page.lower() if low is None else low
-            end = low.find(f"</{name}", at)
-            end = len(page) if end < 0 or len(low) != len(page) else end
+            # in the page itself: lower case may differ in length
+            closing = RAW_END[name].search(page, at)
+            end = closing.start() if closing else len(page)
             if name == "xmp":
                 out.text(page[at:end])
             at = end

@@ -191,6 +191,11 @@ def test_html():
     assert html_text.render("<div>" * 5000 + "deep") == "deep" and html_text.render("a < b <") == "a < b <" and html_text.render("</p><td>x") == "x"
 
 
+def test_html_raw_end_beside_long_lower_case():
+    page = "<head><TITLE>İstanbul</Title><script>'</scripted>' İ</SCRIPT ></head><body><p>İ a<xmp>b</Xmp>c"
+    assert html_text.render(page) == "İ a\n\nb\nc" and html_text.render("a<script>İ") == "a"
+
+
 def test_classifier(spark):
     r = random.Random(2)
     words = {0: "vile nasty awful".split(), 1: "buy click spam".split(), 2: "river theory garden".split()}
