@@ -31,6 +31,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 RAW_END = {name: re.compile(f"</{name}(?=[\\s/>])", re.I | re.A) for name in RAW}
 UNSEEN = frozenset("head script style template noscript iframe noembed noframes object svg math canvas audio video select datalist textarea title".split())
+#: What may stand in an open head; any other start tag, and text, ends it.
+IN_HEAD = frozenset("title meta link base style script noscript noframes template".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table ul xmp tr caption thead tbody tfoot".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure".split())
 #: A start tag closes the nearest of the first set, unless one of the second stands in between.
@@ -106,6 +108,8 @@ class _Page:
 
     def start(self, name: str, attributes: str) -> bool:
         """Opens an element; says whether it stays open."""
+        if name not in IN_HEAD:
+            self.end_head()
         if name in BLOCK and "p" in self.stack:
             # only up to the nearest cell or page
             for k in range(len(self.stack) - 1, -1, -1):
@@ -189,7 +193,14 @@ class _Page:
             if name in BLOCK:
                 box.end_line(blank=name in SPACED and not (name in ("ul", "ol") and self.lists))
 
+    def end_head(self) -> None:
+        """Closes a head that is open without an element in it."""
+        if self.stack and self.stack[-1] == "head":
+            self.close(len(self.stack) - 1)
+
     def text(self, value: str) -> None:
+        if self.stack and self.stack[-1] == "head" and html.unescape(value).strip(" \t\n\r\f"):
+            self.end_head()
         if not self.unseen and value:
             # text in a table but in no cell stands before the table
             self.boxes[-1].add(html.unescape(value), self.pre > 0)

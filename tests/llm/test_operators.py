@@ -196,6 +196,13 @@ def test_html_raw_end_beside_long_lower_case():
     assert html_text.render(page) == "İ a\n\nb\nc" and html_text.render("a<script>İ") == "a"
 
 
+def test_html_implied_end_of_head():
+    head = "<html><head> <meta charset=utf-8><title>T</title>\n<template><div>no</div></template><noscript><img alt=no>no</noscript><style>no</style>"
+    assert html_text.render(head + "<h1>A</h1><p>text") == "A\n\ntext"
+    assert html_text.render(head + "\n text<p>more") == "text\n\nmore"
+    assert html_text.render(head + "<img alt=seen>") == "seen" and html_text.render(head + "<body>b") == html_text.render(head + "</head>b") == "b"
+
+
 def test_classifier(spark):
     r = random.Random(2)
     words = {0: "vile nasty awful".split(), 1: "buy click spam".split(), 2: "river theory garden".split()}
