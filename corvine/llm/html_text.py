@@ -25,12 +25,19 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: Attributes: a quote is one only after an equals sign; unquoted values run to white space or the tag's end. Possessive, so without backtracking.
+GIVEN = r"(?:[^>=]|=[ \t\n\r\f]*+(?:\"[^\"]*\"|'[^']*'|[^ \t\n\r\f\"'>][^ \t\n\r\f>]*+)?+)*+"
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>\x00]*)(" + GIVEN + r")>|<", re.S)
+ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^ \t\n\r\f\"'>][^ \t\n\r\f>]*)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 RAW_END = {name: re.compile(f"</{name}(?=[\\s/>])", re.I | re.A) for name in RAW}
-UNSEEN = frozenset("head script style template noscript iframe noembed noframes object svg math canvas audio video select datalist textarea title".split())
+UNSEEN = frozenset("head script style template noscript iframe noembed noframes object canvas audio video datalist title".split())
+FOREIGN = frozenset("svg math".split())
+#: Elements that aren't shown inside svg or math, besides those above.
+UNSEEN_FOREIGN = frozenset("desc metadata defs symbol clippath mask pattern marker annotation annotation-xml".split())
+#: Inline elements that stand apart from what is beside them; some only inside svg or math.
+APART, APART_FOREIGN = frozenset("option textarea".split()), frozenset("text mtd".split())
 #: What may stand in an open head; any other start tag, and text, ends it.
 IN_HEAD = frozenset("title meta link base style script noscript noframes template".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table ul xmp tr caption thead tbody tfoot".split())
@@ -127,7 +134,10 @@ class _Page:
                 if self.stack[k] in until:
                     break
         given = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)} if attributes else {}
-        hidden = name in UNSEEN or "hidden" in given or HIDING.search(given.get("style", "")) is not None
+        foreign = self.foreign()
+        if foreign and name not in VOID and ATTRIBUTE.sub("", attributes).endswith("/"):
+            return False  # empty; in HTML itself the slash means nothing
+        hidden = name in UNSEEN or (foreign and name in UNSEEN_FOREIGN) or "hidden" in given or HIDING.search(given.get("style", "")) is not None
         if name in VOID:
             if not self.unseen and not hidden:
                 box = self.boxes[-1]
@@ -144,6 +154,8 @@ class _Page:
             self.unseen += 1
             return True
         box = self.boxes[-1]
+        if name in APART or (foreign and name in APART_FOREIGN):
+            box.add(" ", False)
         if name in ("td", "th"):
             if self.tables:
                 if not self.tables[-1]:
@@ -165,7 +177,7 @@ class _Page:
                 self.lists[-1][1] += 1
                 mark = f"{self.lists[-1][1]}. " if self.lists[-1][0] == "ol" else mark
             box.line = ["  " * depth + mark]
-        elif name in ("pre", "xmp"):
+        elif name in ("pre", "xmp", "textarea"):
             self.pre += 1
         return True
 
@@ -188,11 +200,16 @@ class _Page:
                 box.lines += lines
             elif name in ("ul", "ol", "menu") and self.lists:
                 self.lists.pop()
-            elif name in ("pre", "xmp"):
+            elif name in ("pre", "xmp", "textarea"):
                 self.pre -= 1
+            if name in APART or (name in APART_FOREIGN and self.foreign()):
+                box.add(" ", False)
             if name in BLOCK:
                 box.end_line(blank=name in SPACED and not (name in ("ul", "ol") and self.lists))
 
+    def foreign(self) -> bool:
+        return not FOREIGN.isdisjoint(self.stack)
+
     def end_head(self) -> None:
         """Closes a head that is open without an element in it."""
         if self.stack and self.stack[-1] == "head":
@@ -230,8 +247,8 @@ def render(page: str) -> str:
             # in the page itself: lower case may differ in length
             closing = RAW_END[name].search(page, at)
             end = closing.start() if closing else len(page)
-            if name == "xmp":
-                out.text(page[at:end])
+            if name in ("xmp", "textarea"):
+                out.text(page[at:end].removeprefix("\n" if name == "textarea" else ""))
             at = end
     out.text(page[at:])
     out.close(0)

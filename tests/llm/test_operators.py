@@ -203,6 +203,22 @@ def test_html_implied_end_of_head():
     assert html_text.render(head + "<img alt=seen>") == "seen" and html_text.render(head + "<body>b") == html_text.render(head + "</head>b") == "b"
 
 
+def test_html_shown_forms_and_graphics():
+    assert html_text.render("a<textarea name=x>\nb <i>\n c &amp; d</textarea>e") == "a b <i>\n c & d e"
+    assert html_text.render("<select name=s><option>one<option selected>two</select><datalist><option>no</datalist>x") == "one two x"
+    svg = "<svg><title/><style>no</style><script>no</script><title>no</title><desc>no <b>no</b></desc><defs/><path d='M 0'/><text x=1>one</text><text>two <tspan>three</tspan></text></svg>"
+    assert html_text.render(f"<p>a{svg}b</p>") == "a one two three b"
+    assert html_text.render("<p>if <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math>, then</p>") == "if x=1, then"
+    assert html_text.render("<svg><foreignObject>a<br/>b<img alt=c /></foreignObject></svg>") == "a\nbc"
+    assert html_text.render("<div hidden><textarea>no</textarea><svg><text>no</text></svg></div>y") == "y"
+
+
+def test_html_unquoted_values():
+    assert html_text.render("<a href=/it's>Shown</a> you don't see <b>") == "Shown you don't see"
+    assert html_text.render("<a href = /a\"b title='x>y' alt=\"it's>\">s</a><img alt=it's><p title=a='b>t<p style=display:none>no") == "sit's\n\nt"
+    assert html_text.render("<a " + "b=c" * 100_000 + " d='x") == "<a " + "b=c" * 100_000 + " d='x"
+
+
 def test_classifier(spark):
     r = random.Random(2)
     words = {0: "vile nasty awful".split(), 1: "buy click spam".split(), 2: "river theory garden".split()}
