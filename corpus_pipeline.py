@@ -25,10 +25,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents the least doc_id stays; rows of one doc_id are one document, rows without an id stay."""
-    found = ngram_jaccard.near_duplicates(docs)
-    gone = broadcast_if_small(keep(found.where("doc_id != component_id").select("doc_id").distinct()), SMALL_ROWS)
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of each component of linked documents one row stays: the least doc_id, nulls last, then key; rows without words all stay."""
+    found = ngram_jaccard.near_duplicates(docs).where("first_k is not null")
+    found = keep(found.select("k", (F.col("k") == F.col("first_k")).alias("stays")))
+    left = _without(docs, found.where("not stays").select("k"))
+    # rows alike in doc_id and text have one key
+    repeated = keep(found.where("stays").groupBy("k").count().where("count > 1").select("k"))
+    if repeated.isEmpty():
+        return left
+    copies = left.withColumn("k", row_key(F.col("doc_id"), F.col("text"))).join(broadcast_if_small(repeated, SMALL_ROWS), "k", "left_semi")
+    one = copies.groupBy("k").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return _without(left, repeated).unionByName(one)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, keep, table
+from .common import broadcast_if_small, keep, row_key, table
 from .components import components
 from .wordhash import WORD_BASE, Words, columns, longs, mix, spans_hash
 
@@ -109,7 +109,7 @@ def _count_shingles(n: int, block: int = 1 << 22):
 
 
 def _sets(n: int, what: str, percent: int, heavy=None):
-    """what: "classes" (key, size, fingerprints), "postings" (token, sig, size, pos) or "sets" (sig, size, tokens as bytes).
+    """what: "classes" (doc_id, key, size, fingerprints), "postings" (token, sig, size, pos) or "sets" (sig, size, tokens as bytes).
 
     The last two leave out sets that the task has just given: ``SEEN`` fingerprints are remembered.
     """
@@ -133,7 +133,7 @@ def _sets(n: int, what: str, percent: int, heavy=None):
                 texts, tokens = shingle_sets(w, n)
                 size, sig, sig2 = _fingerprints(texts, tokens, j - i)
                 if what == "classes":
-                    yield pa.record_batch([batch.column(0).slice(i, j - i), longs(size), longs(sig), longs(sig2)], names=["doc_id", "n_shingles", "sig", "sig2"])
+                    yield pa.record_batch([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), longs(size), longs(sig), longs(sig2)], names=["doc_id", "k", "n_shingles", "sig", "sig2"])
                     continue
                 new = fresh(sig, size)
                 if what == "sets":
@@ -354,16 +354,22 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, class_id (least doc_id with an equal set), component_id of each row of ``docs`` (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = keep(docs.mapInArrow(_sets(n, "classes", percent), "doc_id long, n_shingles long, sig long, sig2 long"))
-    classes = rows.where("n_shingles > 0").groupBy("sig", "sig2").agg(F.min("doc_id").alias("class_id"))
+    """doc_id, k (key of the row), n_shingles, class_id (least doc_id with an equal set), component_id, first_k of each row of ``docs`` (doc_id, text).
+
+    first_k is the key of the row that stands for the component: least doc_id, nulls last, then key; without words it is null.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("doc_id"), F.col("text")).alias("k"), F.col("text").cast("string").alias("text"))
+    rows = keep(docs.mapInArrow(_sets(n, "classes", percent), "doc_id long, k long, n_shingles long, sig long, sig2 long"))
+    least_row = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k"))
+    classes = rows.where("n_shingles > 0").groupBy("sig", "sig2").agg(least_row.alias("first"))
     groups = components(linked(docs, n, percent)).withColumnRenamed("node", "sig")
-    named = keep(classes.join(groups, "sig", "left").select("sig", "sig2", "class_id", F.coalesce("component", "sig").alias("component"), F.col("component").isNull().alias("alone")))
-    least = named.where("not alone").groupBy("component").agg(F.min("class_id").alias("least"))
-    ids = named.join(least, "component", "left").select("sig", "sig2", "class_id", F.coalesce("least", "class_id").alias("component_id"))
+    named = keep(classes.join(groups, "sig", "left").select("sig", "sig2", "first", F.coalesce("component", "sig").alias("component"), F.col("component").isNull().alias("alone")))
+    least = named.where("not alone").groupBy("component").agg(F.min("first").alias("least"))
+    ids = named.join(least, "component", "left").withColumn("least", F.coalesce("least", "first"))
+    ids = ids.select("sig", "sig2", F.col("first.doc_id").alias("class_id"), F.col("least.doc_id").alias("component_id"), F.col("least.k").alias("first_k"))
     # a third of all rows may be copies: only classes with several documents, or links, are worth a join
-    return rows.join(ids, ["sig", "sig2"], "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    found = rows.join(ids, ["sig", "sig2"], "left")
+    return found.select("doc_id", "k", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"), "first_k")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

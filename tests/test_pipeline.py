@@ -1,0 +1,13 @@
+"""The pipeline's stages against brute force, on texts with nulls, repeats, copies and clashing columns."""
+
+from collections import Counter
+
+import corpus_pipeline
+
+
+def test_near_duplicate_rows(spark, tmp_path):
+    """One row of each component stays, also where doc_ids repeat or are null."""
+    text = lambda c: " ".join(f"{c}{i}" for i in range(50))
+    rows = [(1, text("a")), (5, text("a")), (5, text("b")), (7, text("c")), (7, text("c")), (None, text("c") + " x"), (None, text("d")), (None, text("d")), (9, ""), (9, ""), (None, None)]
+    got = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path))
+    assert Counter(map(tuple, got.collect())) == Counter([(1, text("a")), (5, text("b")), (7, text("c")), (None, text("d")), (9, ""), (9, ""), (None, None)])
