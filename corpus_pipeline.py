@@ -12,10 +12,19 @@ from corvine.llm.common import broadcast_if_small, keep, row_key, scratch_path,
 SMALL_ROWS = 1_000_000
 
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with the (doc_id, text) key of each row, and the column's name, which no column of theirs has."""
+    name = "k"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return docs.withColumn(name, row_key(F.col("doc_id"), F.col("text"))), name
+
+
 def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """``docs`` without the rows whose (doc_id, text) keys are in ``keys`` (k)."""
-    gone = broadcast_if_small(keep(keys.distinct()), SMALL_ROWS)
-    return docs.withColumn("k", row_key(F.col("doc_id"), F.col("text"))).join(gone, "k", "left_anti").select(docs.columns)
+    keyed, k = _keyed(docs)
+    gone = broadcast_if_small(keep(keys.distinct()), SMALL_ROWS).withColumnRenamed("k", k)
+    return keyed.join(gone, k, "left_anti").select(docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +42,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     repeated = keep(found.where("stays").groupBy("k").count().where("count > 1").select("k"))
     if repeated.isEmpty():
         return left
-    copies = left.withColumn("k", row_key(F.col("doc_id"), F.col("text"))).join(broadcast_if_small(repeated, SMALL_ROWS), "k", "left_semi")
-    one = copies.groupBy("k").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    keyed, k = _keyed(left)
+    copies = keyed.join(broadcast_if_small(repeated, SMALL_ROWS).withColumnRenamed("k", k), k, "left_semi")
+    one = copies.groupBy(k).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
     return _without(left, repeated).unionByName(one)
 
 
