@@ -6,7 +6,8 @@ weight, the sources at their limit come first, so two running sums over one row
 
 A source with target T and size S takes floor(T / S) whole copies of each document, and once more a sample with inclusion
 probability p = T / S - floor(T / S). Documents are ranked by their random odds u / (1 - u) divided by their inclusion
-odds p / (1 - p) (times a column of relative odds, if asked), with u from a digest of seed, doc_id and text: reruns agree.
+odds p / (1 - p) (times a column of relative odds, if asked; without one, as in ``query`` and ``mixed``, inclusion is equal
+within a source and the ranks are those of a simple random order), with u from a digest of seed, doc_id and text: reruns agree.
 The sample's size is fixed in words: it is the longest prefix in rank order that stays within what the target lacks, and the one
 document that brings the source nearest to its target, if one brings it nearer.
 

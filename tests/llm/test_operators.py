@@ -143,6 +143,17 @@ def test_mixed_rows(docs):
     assert mixing.mixed(docs).columns == docs.columns and max(taken.values()) <= 6  # a repeated row is taken with its copy
 
 
+def test_mixing_odds(spark):
+    """Greater odds are taken more often, and sources still reach their targets."""
+    rows = [(i, f"w{i} " * (i % 3 + 1), "ab"[i % 2], 20.0 if i % 5 == 0 else 1.0) for i in range(2000)]
+    measured = mixing.keep(mixing.measured(spark.createDataFrame(rows, "doc_id long, text string, source string, odds double"), odds="odds"))
+    got = mixing.copies(measured, mixing.decisions(measured)).collect()
+    for src in {r.src for r in got}:
+        mine = [r for r in got if r.src == src]
+        mean = {o: np.mean([r.copies for r in mine if r.odds == o]) for o in (1.0, 20.0)}
+        assert abs(sum(r.copies * r.size for r in mine) - mine[0].target) <= 3 and mean[20.0] > mean[1.0] + 0.1
+
+
 def test_token_files(docs, tmp_path):
     token_files.write(docs, str(tmp_path / "t"), block_ids=500, every=7)
     got = token_files.read(docs.sparkSession, str(tmp_path / "t"), every=7).orderBy("start").collect()
