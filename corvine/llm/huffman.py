@@ -56,8 +56,8 @@ def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return symbols, sizes
 
 
-def encode(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray, every: int) -> tuple[bytes, np.ndarray]:
-    """The bits of ``ids``, first bit highest in its byte, and the bit where each block of ``every`` ids starts."""
+def encode(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray, places: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The bits of ``ids``, first bit highest in its byte, and the bit where the id at each of ``places`` starts."""
     size = lengths[ids].astype(np.int64)
     end = np.cumsum(size)
     start = end - size
@@ -69,7 +69,7 @@ def encode(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray, every: int)
         if len(place):
             first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
             words[place[first] + offset] |= np.bitwise_or.reduceat(half, first)
-    return words.astype(">u4").tobytes()[: -(-total // 8)], start[::every]
+    return words.astype(">u4").tobytes()[: -(-total // 8)], start[places]
 
 
 def decode(bits: bytes, starts: np.ndarray, counts: np.ndarray, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:

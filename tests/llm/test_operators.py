@@ -53,6 +53,22 @@ def test_substring_dedup(docs):
     assert grouped(substring_dedup.remove_repeats(docs).collect()) == grouped(want) and sum(w[2] for w in want) > 500
 
 
+def test_like_shaped_words(spark):
+    """Words, and runs of words, of opposite Thue-Morse sequences differ, though polynomials modulo 2**64 can't tell them apart."""
+    signs = [bin(i).count("1") % 2 for i in range(1024)]
+    a, b = ("".join("ab"[s ^ f] for s in signs) for f in (0, 1))
+    tail = [f"t{i}" for i in range(34)]
+    rows = [(1, " ".join([a, *tail])), (2, " ".join([b, *tail])), (3, f"{a} x"), (4, f"{b} x"), (5, " ".join("ab"[s] for s in signs[:512])), (6, " ".join("ba"[s] for s in signs[:512]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    removed = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(docs).collect()}
+    assert removed[1] == removed[2] == removed[3] == removed[4] == 0
+    starts = Counter(tuple(t.split()[j : j + 35]) for _, t in rows[4:] for j in range(512 - 34))
+    gone = [len({q for j in range(512 - 34) if starts[tuple(t.split()[j : j + 35])] > 1 for q in range(j, j + 35)}) for _, t in rows[4:]]
+    assert [removed[5], removed[6]] == gone
+    links = {r.doc_id: (r.component_id, r.class_id) for r in ngram_jaccard.near_duplicates(docs, n=3).collect()}
+    assert links[3] == (3, 3) and links[4] == (4, 4) and links[2][1] == 2
+
+
 def test_ngram_jaccard(docs):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = []
@@ -154,20 +170,49 @@ def test_mixing_odds(spark):
         assert abs(sum(r.copies * r.size for r in mine) - mine[0].target) <= 3 and mean[20.0] > mean[1.0] + 0.1
 
 
-def test_token_files(docs, tmp_path):
-    token_files.write(docs, str(tmp_path / "t"), block_ids=500, every=7)
+def library(special_as_text=False):
+    """The plain library, called on one text."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    plain.encode_special_tokens = special_as_text
+    return lambda t: plain.encode(t, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("special_as_text", [False, True])
+def test_token_files(docs, tmp_path, special_as_text):
+    token_files.write(docs, str(tmp_path / "t"), block_ids=500, every=7, special_as_text=special_as_text)
     got = token_files.read(docs.sparkSession, str(tmp_path / "t"), every=7).orderBy("start").collect()
-    tokenizer = token_files.Tokenizer(token_files.tokenizer_path())
-    whole = lambda t: [*tokenizer.ids(t).tolist(), 2]
-    assert Counter((r.doc_id, r.ids) for r in got) == Counter((i, np.array(whole(t or ""), "<u4").tobytes()) for i, t, *_ in ROWS)
+    ids = library(special_as_text)
+    assert Counter((r.doc_id, r.ids) for r in got) == Counter((i, np.array([*ids(t or ""), 2], "<u4").tobytes()) for i, t, *_ in ROWS)
+    assert any(50256 in np.frombuffer(r.ids, "<u4") for r in got) != special_as_text
     assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
     assert [r.doc_id for r in got if r.doc_id is not None] == sorted(r.doc_id for r in got if r.doc_id is not None)
 
 
-def test_word_memory():
-    tokenizer = token_files.Tokenizer(token_files.tokenizer_path())
-    texts = ["a b\nc", "a  b", "\n", "", " x", "x ", "it's\tI'll\n\n 3", "naïve  x", "a\r\nb", "a  b", "'s 's''s"]
-    assert tokenizer.encode(texts) == [tokenizer.ids(t).tobytes() for t in texts]
+def test_token_parts(spark, tmp_path):
+    """Rows of one doc_id, and copies, may lie in several parts; starts and ids stay right."""
+    rows = [(7, f"text {i % 50}") for i in range(400)] + [(None, "copy")] * 300
+    token_files.write(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "t"), block_ids=20)
+    assert spark.read.parquet(str(tmp_path / "t/blocks")).select("part").distinct().count() > 2
+    got = token_files.read(spark, str(tmp_path / "t")).orderBy("start").collect()
+    ids = library()
+    assert Counter((r.doc_id, r.ids) for r in got) == Counter((i, np.array([*ids(t), 2], "<u4").tobytes()) for i, t in rows)
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist() and [r.doc_id for r in got] == [None] * 300 + [7] * 400
+
+
+def test_unit_memory(monkeypatch):
+    plain, tokenizer = library(), token_files.Tokenizer(token_files.tokenizer_path())
+    texts = ["a b\nc", "a  b", "\n", "", " x", "x ", "it's\tI'll\n\n 3", "naïve  x", "a\r\nb", "a\u2003\u2003b \u2003c", "'s 's''s", "<|endoftext|> x<|endoftext|>", "\x1c a\x1f b", "\t\t", "a\x85\nb \x85 c", "  x \u3000", "\nfoo\n \nbar  ", "\xa0 \xa0"]
+    for memory in (1 << 20, 4, 16):
+        monkeypatch.setattr(token_files, "MEMORY", memory)
+        for _ in range(2):
+            assert [x.tolist() for x in tokenizer.encode(texts)] == [plain(t) for t in texts] and len(tokenizer.known) <= memory
+    r = random.Random(4)
+    for _ in range(300):
+        text = "".join(r.choice(["a", "bc", "é", "9", "'s", "!", " ", " ", "\n", "\t", "\r", "\xa0", "\x1c", "\u2028", "<|endoftext|>"]) for _ in range(12))
+        assert tokenizer.encode([text])[0].tolist() == plain(text), text
 
 
 @pytest.mark.parametrize("counts", [[5], [1, 1], [0, 3, 0], [1] * 1000, [2**i for i in range(30)], [0, 0]])
@@ -177,7 +222,7 @@ def test_huffman(counts):
     used = lengths[counts > 0].astype(int)
     assert (lengths[counts == 0] == 0).all() and used.max(initial=0) <= 12 and (2.0**-used).sum() <= 1
     ids = np.repeat(np.flatnonzero(counts), 9)
-    bits, starts = huffman.encode(ids, lengths, huffman.canonical(lengths), 4)
+    bits, starts = huffman.encode(ids, lengths, huffman.canonical(lengths), np.arange(0, len(ids), 4))
     sizes = np.full(len(starts), 4)
     if len(ids):
         sizes[-1] = len(ids) - 4 * (len(starts) - 1)
@@ -278,5 +323,5 @@ def test_empty_tables(spark, tmp_path):
 
 def test_crc(docs):
     row = token_files.encoded(docs.where("doc_id = 3")).first()
-    ids = [*token_files.Tokenizer(token_files.tokenizer_path()).ids("one").tolist(), 2]
+    ids = [*library()("one"), 2]
     assert row.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
