@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, keep, row_key, table
 from .components import components
-from .wordhash import WORD_BASE, Words, columns, longs, mix, spans_hash
+from .wordhash import Words, columns, longs, mix, pair_hash
 
 N, PERCENT = 5, 80
 #: Most rows of the broadcast table of frequent shingles (16 bytes each), and the least count that enters it.
@@ -63,8 +63,12 @@ def shingle_sets(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     texts, tokens = w.text[: len(grams)][whole], grams[whole]
     few = np.flatnonzero((np.diff(w.bounds) > 0) & (np.diff(w.bounds) < n))
     if len(few):
+        whole_text, size = w.hash[w.bounds[few]], np.diff(w.bounds)[few]
+        for k in range(1, n - 1):
+            more = np.flatnonzero(size > k)
+            whole_text[more] = pair_hash(whole_text[more], w.hash[w.bounds[few[more]] + k], -1)
         texts = np.concatenate([texts, few])
-        tokens = np.concatenate([tokens, spans_hash(w.hash, w.bounds[few], w.bounds[few + 1], WORD_BASE)])
+        tokens = np.concatenate([tokens, mix(whole_text + size.astype(np.uint64))])
         order = np.argsort(texts, kind="stable")
         texts, tokens = texts[order], tokens[order]
     start = 0

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .wordhash import BYTE_BASE, Words, columns, lists, spans_hash
+from .wordhash import Words, bytes_hash, columns, lists
 
 DIM_BITS, MOST, GRADES = 16, 20_000, 3
 #: The fit ends where the gradient is ``SETTLED`` times the first one; ``MEMORY`` past steps give the curvature.
@@ -49,7 +49,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     before, behind = start > w.start, end < w.end
     starts, ends = np.concatenate([start, w.start[before], end[behind]]), np.concatenate([end, start[before], w.end[behind]])
     text = np.concatenate([w.text, w.text[before], w.text[behind]])
-    place = (text.astype(np.int64) << DIM_BITS) | (spans_hash(data, starts, ends, BYTE_BASE) >> np.uint64(64 - DIM_BITS)).astype(np.int64)
+    place = (text.astype(np.int64) << DIM_BITS) | (bytes_hash(data, starts, ends) >> np.uint64(64 - DIM_BITS)).astype(np.int64)
     place, counts = np.unique(place, return_counts=True)
     text, value = place >> DIM_BITS, 1 + np.log(counts)
     length = np.sqrt(np.bincount(text, value * value, minlength=len(offsets) - 1))

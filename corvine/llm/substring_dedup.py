@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import keep, row_key, shuffles, table
-from .wordhash import WORD_BASE, Words, columns, joined, leftmost_minima, lists, longs, spans_hash
+from .wordhash import Words, columns, joined, leftmost_minima, lists, longs, pair_hash
 
 WINDOW, PHRASE = 35, 12
 #: Text of one bucket, in bytes.
@@ -46,13 +46,17 @@ def _anchors(w: Words, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _runs(w: Words, window: int, phrase: int):
-    """Each anchor with its windows: hashes of phrases, the anchors' places, the first and the last window, the hash of the whole context."""
+    """Each anchor with its windows: hashes of phrases, the anchors' places, the first and the last window, the hash of the whole context.
+
+    All windows of an anchor hold its phrase, so the first and the last one overlap and with their distance make up the context.
+    """
     grams, at = _anchors(w, window, phrase)
     if not len(at):
         return None
     first = np.flatnonzero((at >= 0) & np.r_[True, at[1:] != at[:-1]])
     last = np.r_[np.flatnonzero((at[:-1] != at[1:]) & (at[:-1] >= 0)), [len(at) - 1] if at[-1] >= 0 else []].astype(np.int64)
-    return grams, at[first], first, last, spans_hash(w.hash, first, last + window, WORD_BASE)
+    wins = w.grams(window)
+    return grams, at[first], first, last, pair_hash(wins[first], wins[last], 0) + (last - first).astype(np.uint64)
 
 
 def _contexts(window: int, phrase: int):

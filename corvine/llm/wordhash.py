@@ -1,8 +1,10 @@
 """Words and word n-grams of whole Arrow columns as numpy arrays: 64-bit hashes without a Python step per word.
 
 Texts are taken as UTF-8 bytes. A word is a run of bytes other than 0x20 and 0x09-0x0D, as ASCII white space never occurs
-inside a multi-byte character. Hashes are polynomials modulo 2**64 over bytes, then over mixed word hashes, each finished by
-a bijective mixer: equal words always hash alike, and an n-gram's hash depends on its words alone.
+inside a multi-byte character. A word's hash sums its 8-byte pieces, each mixed with its place in the word; an n-gram's
+joins the hashes of two shorter ones, mixed again, by doubling. Mixing is not linear, so no arrangement of letters or words
+collides by its form, as Thue-Morse sequences do under polynomials modulo 2**64. Equal words always hash alike, and an
+n-gram's hash depends on its words alone.
 """
 
 from __future__ import annotations
@@ -12,23 +14,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BYTE_BASE, WORD_BASE, U = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, np.uint64
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 ... base**(n-1) modulo 2**64, grown by doubling."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size, have = max(1 << 20, 1 << (n - 1).bit_length()), np.array([1], U)
-        while len(have) < size:
-            have = np.concatenate([have, have * U(pow(base, len(have), 1 << 64))])
-        _powers[base] = have
-    return have[:n]
-
-
-def inverse(base: int) -> int:
-    return pow(base, -1, 1 << 64)
+U = np.uint64
+STEP, ODD = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -38,11 +25,35 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def spans_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
-    """A hash of each values[start:end], independent of where it stands."""
-    total = np.zeros(len(values) + 1, U)
-    np.cumsum((values.astype(U) + U(1)) * powers(base, len(values)), out=total[1:])
-    return mix((total[end] - total[start]) * powers(inverse(base), len(values) + 1)[start] + (end - start).astype(U))
+def bytes_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each data[start:end], independent of where it stands."""
+    size = end - start
+    pieces = (size + 7) >> 3
+    of = np.repeat(np.arange(len(size)), pieces)
+    place = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    at = start[of] + 8 * place
+    eights = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)[at].view("<u8")[:, 0]
+    over = np.maximum(at + 8 - end[of], 0).astype(U) * U(8)  # bits of what follows the word
+    values = mix((eights & (~U(0) >> over)) + mix((place + 1).astype(U) * STEP))
+    out = np.zeros(len(size), U)
+    some = np.flatnonzero(pieces)
+    if len(some):
+        out[some] = np.add.reduceat(values, (np.cumsum(pieces) - pieces)[some])
+    return mix(out + size.astype(U))
+
+
+def pair_hash(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
+    return mix(a * ODD + b + U(salt * int(STEP) % (1 << 64)))
+
+
+def grams_hash(values: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n values from each one on, from those of the 1, 2, 4, ... values; the last two may overlap."""
+    out, width = values, 1
+    while width < n and len(out):
+        step = min(width, n - width)
+        width += step
+        out = pair_hash(out[:-step], out[step:], width) if len(out) > step else out[:0]
+    return out[: max(0, len(values) - n + 1)]
 
 
 class Words:
@@ -60,15 +71,13 @@ class Words:
         last[offsets[1:][offsets[1:] > 0] - 1] = True
         self.end = np.flatnonzero(last & ~white) + 1
         self.text = np.searchsorted(offsets, self.start, "right") - 1
-        self.hash = spans_hash(data, self.start, self.end, BYTE_BASE)
+        self.hash = bytes_hash(data, self.start, self.end)
         #: bounds[i]:bounds[i+1] are the words of text i.
         self.bounds = np.searchsorted(self.start, offsets)
 
     def grams(self, n: int) -> np.ndarray:
         """Hashes of the n words from each word on, over the ends of texts too; see ``whole``."""
-        k = max(0, len(self.hash) - n + 1)
-        at = np.arange(k)
-        return spans_hash(self.hash, at, at + n, WORD_BASE)
+        return grams_hash(self.hash, n)
 
     def whole(self, n: int) -> np.ndarray:
         """Whether the n words from each word on belong to one text."""
