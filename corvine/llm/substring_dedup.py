@@ -166,13 +166,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
     bucket = F.pmod(F.col("k"), F.lit(buckets)).cast("int").alias("bucket")
 
     anchors = docs.select("k", "text").mapInArrow(_contexts(window, phrase), "anchor long, ctx long, k long")
-    recurring = anchors.groupBy("anchor").count().where("count > 1").select("anchor")
+    # written, so that both sides of joins by anchor are plain shuffles, whose hot partitions Spark splits
+    recurring = keep(anchors.groupBy("anchor").count().where("count > 1").select("anchor"))
     contexts = keep(anchors.join(recurring, "anchor"))
     counted = keep(contexts.groupBy("anchor", "ctx").agg(F.count("*").alias("n"), F.min("k").alias("k")))
     asked = counted.groupBy("k").agg(F.collect_list("ctx").alias("ctx"))  # no more than the document's anchors
     details = docs.join(asked, "k").select("text", "ctx").mapInArrow(_details(window, phrase), "anchor long, ctx long, wins array<long>, phrase string")
-    several = counted.groupBy("anchor").agg(F.count("*").alias("contexts"))
-    distinct = keep(details.dropDuplicates(["anchor", "ctx"]).join(counted.select("anchor", "ctx", "n"), ["anchor", "ctx"]).join(several, "anchor"))
+    several = keep(counted.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1"))
+    numbered = counted.select("anchor", "ctx", "n").join(several, "anchor", "left")
+    distinct = keep(details.dropDuplicates(["anchor", "ctx"]).join(numbered, ["anchor", "ctx"]).withColumn("contexts", F.coalesce("contexts", F.lit(1))))
     # an anchor of one context has it twice, so all its windows recur
     each = distinct.where("contexts > 1").select("anchor", "ctx", "n", F.explode("wins").alias("win"))
     confirmed = each.groupBy("anchor", "win").agg(F.sum("n").alias("n")).where("n > 1").select("anchor", "win")
