@@ -2,7 +2,7 @@
 
 A document's set holds its distinct shingles of ``n`` words (all its words as one shingle if it has fewer; no words, no
 set). Sets link when 100 * |A & B| >= percent * |A | B|. Documents with equal sets form a class, known by two 64-bit
-fingerprints of the set; only classes are compared.
+fingerprints of the set; only classes are compared, where one fingerprint names a set.
 
 1. Order. All shingles are counted, in blocks that pass on those met twice or more; the ``HEAVY`` most frequent ones, a
    table of fixed size, are broadcast. Any order gives right results; frequent shingles last gives short index lists.
@@ -13,14 +13,17 @@ fingerprints of the set; only classes are compared.
    lists that these links don't connect with the other pivots that may link; the size of the intersection is kept.
    Links found so far are contracted to components.
 4. Skipping. What is left are pairs of one list in different components. Their answers are first derived from the pivot's:
-   |A & B| <= |A & P| + |B - P|, both known or bounded (sets that were not compared with P share one shingle at least). A list is cut into blocks by set size; pairs of blocks are skipped by
-   the sizes, the positions (of them, what precedes in kept lists: dropped shingles match nothing) and the derived bounds of their ends, then single pairs likewise. Of pairs that remain, those
-   that share too few lists for a link are left out, the others are compared: first each set with the few it shares most
-   lists with, then, with the components that these links make, all that still lie in different ones.
+   |A & B| <= |A & P| + |B - P|, both known or bounded (sets that were not compared with P share one shingle at least). A
+   list is cut into blocks by set size; pairs of blocks are skipped by the sizes, the positions (of them, what precedes in
+   kept lists: dropped shingles match nothing) and the derived bounds of their ends, then single pairs likewise, and by 64
+   bits that stand for a set's lists. Of pairs that remain, those that share too few lists for a link are left out, the
+   others are compared: first each set with the few next ones in an order that all lists share, then, with the components
+   that these links make, all that still lie in different ones.
 5. Components of all links, joined back to the classes and their documents.
 
-A list with very many sets is dealt as pairs of salted parts, so no task gathers it, and sets that the derived bound
-excludes from any link outside their component are left out before that. Copies cost one row each.
+A list with very many sets is dealt as pairs of salted parts, and the lists of a pivot with very many rows go to different
+tasks, so no task gathers either; sets that the derived bound excludes from any link outside their component are left out
+before that. Copies cost one row each.
 
 Cases: null, empty and white-space texts have an empty set, n_shingles 0, and are their own component; rows alike in
 doc_id and text are one node; a null doc_id stays null and is never the least of a component unless alone; repeated
@@ -49,10 +52,12 @@ HEAVY, HEAVY_COUNT = 1 << 20, 8
 SMALL_ROWS = 1_000_000
 #: Sets of one list in one task; a longer list is dealt as pairs of parts.
 PART, BLOCK = 4096, 128
-#: Sets that each set is compared with before all that may still link it to another component.
+#: Rows of one pivot's lists in one task, about.
+SLOT = 512
+#: Next sets in a fixed order that each set is compared with before all that may still link it to another component.
 NEAREST = 16
 #: Pairs that a task holds to sum them.
-HELD_PAIRS = 1 << 21
+HELD_PAIRS = 1 << 20
 #: Fingerprints that a task remembers, so as not to give the sets of copies again.
 SEEN = 1 << 20
 
@@ -177,14 +182,41 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pairs(percent: int, nearest: bool = False):
-    """Pairs of a list (rows of one token and two parts, by size) that neither sizes, positions nor the pivot's answers exclude; ``nearest``: of those held together, each set's ``NEAREST`` with most lists in common."""
+    """Pairs of a list (rows of one token and two parts, by size) that neither sizes, positions nor the pivot's answers exclude; ``nearest``: of each set only the ``NEAREST`` next ones in an order that all lists share."""
 
     def need(m, n):
         return -(-percent * (m + n) // (100 + percent))
 
-    def of_list(sig, size, rank, rest, comp, met, low, side, same: bool):
+    def neighbours(sig, size, rank, rest, comp, met, low, mask, spare, side, same: bool):
+        order = np.argsort(mix(sig.view(np.uint64)), kind="stable")
+        for step in range(1, min(NEAREST, len(sig) // 2) + 1):
+            a, b = order, np.roll(order, -step)
+            a, b = np.where(size[a] <= size[b], a, b), np.where(size[a] <= size[b], b, a)
+            a, b = possible(a, b, size, rank, rest, comp, met, low, mask, spare, side, same)
+            if len(a):
+                yield ordered(a, b, sig, size)
+
+    def possible(a, b, size, rank, rest, comp, met, low, mask, spare, side, same: bool):
+        """The pairs, with the smaller set first, that may link."""
+        least, apart = need(size[a], size[b]), size - low  # apart: what the pivot may lack, at most
+        good = (a != b) & (comp[a] != comp[b]) & (100 * size[a] >= percent * size[b])
+        good &= np.minimum(rank[a], rank[b]) + 1 + np.minimum(rest[a], rest[b]) >= least
+        good &= (met[a] + apart[b] >= least) & (met[b] + apart[a] >= least)
+        if not same:
+            good &= side[a] != side[b]
+        a, b = a[good], b[good]
+        # the lists they share, at most, and what may match behind those
+        lists = np.bitwise_count((mask[a] & mask[b]).view(np.uint64)).astype(np.int64) + np.minimum(spare[a], spare[b])
+        good = lists + -(-percent * size[b] // 100) - 1 >= need(size[a], size[b])
+        return a[good], b[good]
+
+    def ordered(a, b, sig, size):
+        a, b = np.where(sig[a] < sig[b], a, b), np.where(sig[a] < sig[b], b, a)
+        return sig[a], sig[b], size[a], size[b]
+
+    def of_list(sig, size, rank, rest, comp, met, low, mask, spare, side, same: bool):
         order = np.argsort(size, kind="stable")
-        sig, size, rank, rest, comp, met, low, side = (v[order] for v in (sig, size, rank, rest, comp, met, low, side))
+        sig, size, rank, rest, comp, met, low, mask, spare, side = (v[order] for v in (sig, size, rank, rest, comp, met, low, mask, spare, side))
         apart = size - low  # what the pivot may lack, at most
         for i in range(0, len(sig), BLOCK):
             x = slice(i, i + BLOCK)
@@ -200,16 +232,10 @@ def _pairs(percent: int, nearest: bool = False):
                 if comp[x].min() == comp[x].max() == comp[y].min() == comp[y].max():
                     continue
                 a, b = (g.ravel() for g in np.meshgrid(np.arange(i, min(i + BLOCK, len(sig))), np.arange(j, min(j + BLOCK, len(sig))), indexing="ij"))
-                least = need(size[a], size[b])
-                good = (a < b) & (comp[a] != comp[b]) & (100 * size[a] >= percent * size[b])
-                good &= np.minimum(rank[a], rank[b]) + 1 + np.minimum(rest[a], rest[b]) >= least
-                good &= (met[a] + apart[b] >= least) & (met[b] + apart[a] >= least)
-                if not same:
-                    good &= side[a] != side[b]
-                a, b = a[good], b[good]
+                a, b = a[a < b], b[a < b]
+                a, b = possible(a, b, size, rank, rest, comp, met, low, mask, spare, side, same)
                 if len(a):
-                    a, b = np.where(sig[a] < sig[b], a, b), np.where(sig[a] < sig[b], b, a)
-                    yield sig[a], sig[b], size[a], size[b]
+                    yield ordered(a, b, sig, size)
 
     def summed(found: list) -> pa.RecordBatch:
         """One row for each pair, with the number of lists that gave it."""
@@ -219,13 +245,6 @@ def _pairs(percent: int, nearest: bool = False):
         new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
         count = np.diff(np.r_[new, len(a)])
         a, b, na, nb = (c[new] for c in (a, b, na, nb))
-        if nearest:
-            ends, most, pair = np.r_[a, b], np.r_[count, count], np.tile(np.arange(len(a)), 2)
-            order = np.lexsort((pair, -most, ends))
-            ends = ends[order]
-            start = np.maximum.accumulate(np.where(np.r_[True, ends[1:] != ends[:-1]], np.arange(len(ends)), 0))
-            some = np.unique(pair[order][np.arange(len(ends)) - start < NEAREST])
-            a, b, na, nb, count = (c[some] for c in (a, b, na, nb, count))
         return pa.record_batch([longs(c) for c in (a, b, na, nb, count)], names=["a", "b", "na", "nb", "count"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +253,7 @@ def _pairs(percent: int, nearest: bool = False):
         def done():
             if held:
                 columns_ = [np.concatenate(c) for c in zip(*held, strict=True)]
-                yield from of_list(*columns_, same=key[2] == key[3])
+                yield from (neighbours if nearest else of_list)(*columns_, same=key[2] == key[3])
 
         for batch in batches:
             pivot, token, i, j, *rest = (c.to_numpy() for c in batch.columns)
@@ -332,13 +351,22 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     parts = (F.col("members") / PART).cast("int") + 1
     mine = F.pmod(F.xxhash64("sig"), parts).cast("int")
     left = keep(left.select("pivot", "token", "sig", "size", "rank", "rest", "comp", "met", "low", parts.alias("parts"), mine.alias("side")))
+    # the lists of a pivot with very many rows are dealt out; a pivot has no more lists than shingles
+    filled = left.groupBy("pivot", "token").agg(F.sum("parts").alias("rows"))
+    before = F.sum("rows").over(W.partitionBy("pivot").orderBy("token").rowsBetween(W.unboundedPreceding, -1))
+    slots = keep(filled.select("token", (F.coalesce(before, F.lit(0)) / SLOT).cast("int").alias("slot")).where("slot > 0"))
+    # a set's lists as 64 bits, and how many share a bit with others: they bound what two sets share
+    bits = left.groupBy("sig").agg(F.expr("bit_or(shiftleft(1L, cast(pmod(xxhash64(token), 64) as int)))").alias("mask"), F.count("*").alias("n"))
+    bits = bits.select("sig", "mask", (F.col("n") - F.bit_count("mask")).alias("spare"))
+    left = keep(left.join(broadcast_if_small(slots, SMALL_ROWS), "token", "left").withColumn("slot", F.coalesce("slot", F.lit(0))).join(bits, "sig"))
 
     def candidates(members: DataFrame, nearest: bool) -> DataFrame:
         dealt = members.select("*", F.explode(F.expr("transform(sequence(0, parts - 1), other -> struct(least(side, other) as i, greatest(side, other) as j))")).alias("at"))
         return (
-            dealt.select("pivot", "token", "at.i", "at.j", "sig", "size", "rank", "rest", "comp", "met", "low", "side")
-            .repartition("pivot", "i", "j")  # lists of one pivot mostly give the same pairs
-            .sortWithinPartitions("pivot", "i", "j", "token")
+            dealt.select("pivot", "token", "at.i", "at.j", "sig", "size", "rank", "rest", "comp", "met", "low", "mask", "spare", "side", "slot")
+            .repartition("pivot", "slot", "i", "j")  # lists of one pivot mostly give the same pairs
+            .sortWithinPartitions("pivot", "slot", "i", "j", "token")
+            .drop("slot")
             .mapInArrow(_pairs(percent, nearest), "a long, b long, na long, nb long, count long")
             .groupBy("a", "b", "na", "nb")
             .agg(F.sum("count").alias("count"))
