@@ -7,8 +7,8 @@ occurrence of a window is hit.
    ``span`` words have equal fingerprints, so every shared one is found; overlapping runs mostly share theirs. Shorter items
    are their own fingerprint, looked for among the document's runs of that length.
 2. Documents and windows are joined on fingerprints. Window tables are broadcast behind a check of their rows, else shuffled.
-3. Hits are extended: in the matched documents each run of ``span`` (or a short item's) words is compared with the windows,
-   word for word, and the covered words are merged.
+3. Hits are extended from their places: in the matched documents only runs of ``span`` (or a short item's) words whose
+   fingerprint is one of the benchmark's are cut out and compared with the windows, word for word; covered words are merged.
 
 Items alike in words are one class until the end, and a document's windows are made distinct before items join, so neither
 a hot window nor copies of an item multiply rows.
@@ -40,20 +40,24 @@ def runs(w: Column, n: int) -> Column:
     return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.xxhash64(F.slice(w, i, n)))).otherwise(F.array().cast("array<long>"))
 
 
-def placed_runs(w: Column, n: int) -> Column:
-    """Each run of n words with its place."""
-    every = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.struct((i - 1).alias("at"), F.slice(w, i, n).alias("win")))
-    return F.when(F.size(w) >= n, every).otherwise(F.array().cast("array<struct<at: int, win: array<string>>>"))
-
-
-def fingerprints(w: Column, span: int, k: int, short: list[int]) -> Column:
+def winnowed(w: Column, span: int, k: int) -> Column:
+    """The fingerprint of the span words from each word on: the least hash of their k-grams."""
     width = span - k + 1
 
     def least(h: Column) -> Column:
         return F.transform(F.sequence(F.lit(1), F.size(h) - (width - 1)), lambda i: F.array_min(F.slice(h, i, width)))
 
-    winnowed = F.when(F.size(w) >= span, let(runs(w, k), least)).otherwise(F.array().cast("array<long>"))
-    return F.array_distinct(F.concat(winnowed, *(runs(w, n) for n in short)))
+    return F.when(F.size(w) >= span, let(runs(w, k), least)).otherwise(F.array().cast("array<long>"))
+
+
+def fingerprints(w: Column, span: int, k: int, short: list[int]) -> Column:
+    return F.array_distinct(F.concat(winnowed(w, span, k), *(runs(w, n) for n in short)))
+
+
+def placed(w: Column, span: int, k: int, short: list[int]) -> Column:
+    """Fingerprint f, place and length of each run of words that a window may equal."""
+    at = lambda prints, n: F.transform(prints, lambda f, i: F.struct(f.alias("f"), i.alias("at"), F.lit(n).alias("n")))
+    return F.concat(at(winnowed(w, span, k), span), *(at(runs(w, n), n) for n in short))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
@@ -70,9 +74,11 @@ def hits(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K) ->
     seen = docs.select("k", words(F.col("text")).alias("w")).select("k", F.explode(fingerprints(F.col("w"), span, k, short)).alias("f"))
     matched = keep(seen.join(broadcast_if_small(prints, SMALL_WINDOWS), "f", "left_semi").select("k").distinct())
 
-    closer = docs.join(broadcast_if_small(matched, SMALL_DOCS), "k", "left_semi").select("k", words(F.col("text")).alias("w"))
-    each = F.concat(*(placed_runs(F.col("w"), n) for n in [*short, span]))
-    found = closer.select("k", F.explode(each).alias("r")).select("k", "r.at", "r.win", F.xxhash64("r.win").alias("id"))
+    closer = keep(docs.join(broadcast_if_small(matched, SMALL_DOCS), "k", "left_semi").select("k", words(F.col("text")).alias("w")).dropDuplicates(["k"]))
+    places = closer.select("k", F.explode(placed(F.col("w"), span, k, short)).alias("p")).select("k", "p.f", "p.at", "p.n")
+    places = places.join(broadcast_if_small(prints, SMALL_WINDOWS), "f", "left_semi").groupBy("k").agg(F.collect_list(F.struct("at", "n")).alias("places"))  # no more than the document's words
+    cut = closer.join(places, "k").select("k", F.explode(F.transform("places", lambda p: F.struct(p["at"].alias("at"), F.slice("w", p["at"] + 1, p["n"]).alias("win")))).alias("r"))
+    found = cut.select("k", "r.at", "r.win", F.xxhash64("r.win").alias("id"))
     found = keep(found.join(broadcast_if_small(windows.withColumnRenamed("win", "theirs"), SMALL_WINDOWS), "id").where("win = theirs").select("k", "at", F.size("win").alias("n"), "id").distinct())
 
     covered = found.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("at", (F.col("at") + F.col("n")).alias("end")))).alias("r"))
