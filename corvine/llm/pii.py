@@ -2,9 +2,11 @@
 
 Base kinds are taken as stated, leftmost and without overlaps within a kind; a proposal that fails its check is dropped
 and not retried: email, ip (parts to 255), card (12-19 digits, Luhn), phone (9-15 digits). The method adds kinds whose
-proposals need more evidence: iban (mod-97) and ssn. Their score is a base by kind, more by a passed checksum, and more
-by a context word within ``NEAR`` characters on either side; spans that reach ``THRESHOLD`` are reported. Context never
-removes a base span, whose scores are reported all the same.
+proposals need more evidence: iban (mod-97), ssn, key (prefixes that issuers of keys and tokens document), secret (a long
+run of letters and digits) and password (a value set beside such a name); the last two need a digit and a letter. Their
+score is a base by kind, for matches that passed their check, and more by a context word within ``NEAR`` characters on
+either side; spans that reach ``THRESHOLD`` are reported. Context never removes a base span, whose scores are reported all
+the same.
 
 The patterns are written with possessive repeats and with a look behind at the run's start (or the previous match's end),
 which changes no match and keeps the time linear in the text however long a run of digits or letters is.
@@ -30,12 +32,15 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "key": r"(?<![A-Za-z0-9])(?:A[KS]IA[A-Z0-9]{16}+|gh[opsru]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|sk-[A-Za-z0-9_-]{20,}+|AIza[A-Za-z0-9_-]{35}+|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)(?![A-Za-z0-9])|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----",
+    "secret": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+",
+    "password": r"(?i)(?<![a-z])(?:passw(?:or)?d|passphrase|pwd|secret|api[_ -]?key)[\"']?[\x20\t]?[:=][\x20\t]?[\"']?[^\s\"']{6,}+",
 }
 #: What a text must hold before a pattern is worth trying: every match holds it.
 HINT = {"email": "@", "ip": ".", "phone": "+", "ssn": "-"}
 BASE = ["email", "ip", "card", "phone"]
 #: kind: score of a match that passed its check; a context word adds 0.3
-SCORE = {"email": 0.7, "ip": 0.6, "card": 0.7, "phone": 0.5, "iban": 0.6, "ssn": 0.3}
+SCORE = {"email": 0.7, "ip": 0.6, "card": 0.7, "phone": 0.5, "iban": 0.6, "ssn": 0.3, "key": 0.8, "secret": 0.3, "password": 0.6}
 CONTEXT = {
     "email": "mail|contact|address|write",
     "ip": r"\bip\b|host|server|address",
@@ -43,6 +48,9 @@ CONTEXT = {
     "phone": r"phone|call|\btel|mobile|fax",
     "iban": "iban|bank|account|transfer",
     "ssn": "ssn|social|security|tax",
+    "key": "key|token|secret",
+    "secret": r"token|secret|passw|api.?key|\bkey\b|auth|credential|bearer",
+    "password": "login|user|account",
 }
 NO_SPANS = "cast(array() as array<struct<start: int, end: int, rank: int, kind: string, score: double>>)"
 
@@ -90,6 +98,8 @@ def valid(kind: str, m: Column) -> Column:
         return let(digits(m), lambda d: F.when(F.length(d).between(12, 19), luhn(d)).otherwise(False))
     if kind == "phone":
         return F.length(digits(m)).between(9, 15)
+    if kind in ("secret", "password"):
+        return m.rlike("[0-9]") & m.rlike("[A-Za-z]")
     return mod97(m) if kind == "iban" else F.lit(True)
 
 
@@ -128,4 +138,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = find_pii(table(spark, sf_dir, "documents"))
     of = lambda kind: F.filter("spans", lambda s: s["kind"] == kind)
     text = lambda s: F.array_join(F.transform(s, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
-    return spans.select("doc_id", *(F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in BASE), F.sha2(text(F.filter("spans", lambda s: s["rank"] < len(BASE))), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+    return spans.select("doc_id", F.size("spans").cast("long").alias("n_spans"), *(F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in BASE), F.sha2(text(F.filter("spans", lambda s: s["rank"] < len(BASE))), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
