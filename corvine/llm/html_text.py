@@ -7,10 +7,13 @@ show, and those hidden by attribute or inline style, are skipped with all they h
 
 Rendering: white space runs are one space except in preformatted text; blocks begin on a line of their own, paragraphs,
 headings, lists and tables after a blank one; list items have a dash or their number, indented by depth; a table's cells are
-padded to their column's width and joined by " | "; nested tables are rendered into their cell first.
+padded to their column's width (at most ``PAD`` characters, so that one long cell doesn't widen every row) and joined by
+" | ", spans of columns and rows keep their places empty; nested tables are rendered into their cell first.
 
-No recursion, so nesting may be of any depth. Cases: null pages are empty; broken markup is text or ignored, never an error; page_id
-may be null or repeat; extra columns are ignored; an empty table gives an empty result.
+No recursion, so nesting may be of any depth, and open elements are found by name, so time grows with the page alone. Cases:
+null pages are empty; broken markup is text or ignored, never an error: a tag that the page's end cuts off is text with all
+that follows; a table whose spans take more than ``GRID`` places is laid out without spans; page_id may be null or repeat;
+extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from .common import table
 #: Attributes: a quote is one only after an equals sign; unquoted values run to white space or the tag's end. Possessive, so without backtracking.
 GIVEN = r"(?:[^>=]|=[ \t\n\r\f]*+(?:\"[^\"]*\"|'[^']*'|[^ \t\n\r\f\"'>][^ \t\n\r\f>]*+)?+)*+"
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>\x00]*)(" + GIVEN + r")>|<", re.S)
+TAG = re.compile(r"</?[A-Za-z]")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^ \t\n\r\f\"'>][^ \t\n\r\f>]*)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -58,6 +62,12 @@ CLOSES = {
 }
 HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
+#: Most characters that a column is padded to, and places of a table that spans may take.
+PAD, GRID = 120, 1 << 16
+#: Tables inside each other that are laid out, and depth of lists that is indented; further cells are lines, and items go no deeper.
+DEEP = 16
+#: Of an element's start within which a paragraph stays open, and end tags that reach beyond a cell or table.
+KEEPS_P, CELLS, BEYOND = ("td", "th", "table", "li", "div"), ("td", "th", "table"), frozenset("table tr thead tbody tfoot body html".split())
 
 
 class _Box:
@@ -93,13 +103,43 @@ class _Box:
         return "\n".join(self.lines).strip("\n")
 
 
-def _laid_out(rows: list[list[str]]) -> list[str]:
+def _placed(rows: list[list[tuple[str, int, int]]]) -> list[list[str]]:
+    """Cells (text, columns, rows) in a grid; the places that spans cover are empty. Columns in which no cell begins are left out."""
+    grid: list[dict[int, str]] = []
+    below: dict[int, int] = {}  # column: rows that a cell above still covers
+    taken = 0
+    for r in rows:
+        out, at, after = {}, 0, {c: n - 1 for c, n in below.items() if n > 1}
+        for text, wide, high in r:
+            while at in below:
+                at += 1
+            out[at] = text
+            taken += wide * high
+            if taken > GRID:
+                return [[c[0] for c in r] for r in rows]
+            if high > 1:
+                after |= dict.fromkeys(range(at, at + wide), high - 1)
+            at += wide
+        grid.append(out)
+        below = after
+    columns = {c: i for i, c in enumerate(sorted({c for out in grid for c in out}))}
+    lines = []
+    for out in grid:
+        line = [""] * (1 + max((columns[c] for c in out), default=-1))
+        for c, text in out.items():
+            line[columns[c]] = text
+        lines.append(line)
+    return lines
+
+
+def _laid_out(rows: list[list[tuple[str, int, int]]]) -> list[str]:
     """A table's lines: columns as wide as their widest cell; a cell of several lines takes as many."""
-    rows = [[c.split("\n") for c in r] for r in rows if any(c.strip() for c in r)]
+    spans = any(wide > 1 or high > 1 for r in rows for _, wide, high in r)
+    rows = [[c.split("\n") for c in r] for r in (_placed(rows) if spans else [[c[0] for c in r] for r in rows]) if any(c.strip() for c in r)]
     width: dict[int, int] = {}
     for r in rows:
         for i, c in enumerate(r):
-            width[i] = max(width.get(i, 0), *map(len, c))
+            width[i] = max(width.get(i, 0), *(min(PAD, len(x)) for x in c))
     out = []
     for r in rows:
         for k in range(max(map(len, r))):
@@ -107,32 +147,33 @@ def _laid_out(rows: list[list[str]]) -> list[str]:
     return out
 
 
+def _span(value: str, most: int) -> int:
+    """A colspan or rowspan: 1 where it is no number, or 0."""
+    return min(most, max(1, int(value))) if value.isascii() and value.isdigit() and len(value) < 9 else 1
+
+
 class _Page:
     def __init__(self):
         self.stack: list[str] = []
+        self.open: dict[str, list[int]] = {}  # places of each name in the stack
+        self.spans: list[tuple[int, int]] = []  # of open cells
         self.boxes, self.tables, self.lists = [_Box()], [], []
         self.unseen, self.pre = 0, 0
 
+    def last(self, name: str) -> int:
+        """The place of the innermost open element of a name, else -1."""
+        return at[-1] if (at := self.open.get(name)) else -1
+
     def start(self, name: str, attributes: str) -> bool:
         """Opens an element; says whether it stays open."""
         if name not in IN_HEAD:
             self.end_head()
-        if name in BLOCK and "p" in self.stack:
-            # only up to the nearest cell or page
-            for k in range(len(self.stack) - 1, -1, -1):
-                if self.stack[k] in ("td", "th", "table", "li", "div") and self.stack[k] != "p":
-                    break
-                if self.stack[k] == "p":
-                    self.close(k)
-                    break
+        if name in BLOCK and (k := self.last("p")) > max(map(self.last, KEEPS_P)):
+            self.close(k)
         if name in CLOSES:
             these, until = CLOSES[name]
-            for k in range(len(self.stack) - 1, -1, -1):
-                if self.stack[k] in these:
-                    self.close(k)
-                    break
-                if self.stack[k] in until:
-                    break
+            if (k := max(map(self.last, these))) > max(map(self.last, until), default=-1):
+                self.close(k)
         given = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)} if attributes else {}
         foreign = self.foreign()
         if foreign and name not in VOID and ATTRIBUTE.sub("", attributes).endswith("/"):
@@ -149,6 +190,7 @@ class _Page:
                 elif name == "img" and given.get("alt"):
                     box.add(html.unescape(given["alt"]), False)
             return False
+        self.open.setdefault(name, []).append(len(self.stack))
         self.stack.append(name)
         if self.unseen or hidden:
             self.unseen += 1
@@ -157,16 +199,19 @@ class _Page:
         if name in APART or (foreign and name in APART_FOREIGN):
             box.add(" ", False)
         if name in ("td", "th"):
-            if self.tables:
+            if self.tables and self.tables[-1] is None:
+                box.end_line()
+            elif self.tables:
                 if not self.tables[-1]:
                     self.tables[-1].append([])
                 self.boxes.append(_Box())
+                self.spans.append((_span(given.get("colspan", ""), 1000), _span(given.get("rowspan", ""), 65534)))
             return True
         if name in BLOCK:
             box.end_line(blank=name in SPACED and not (name in ("ul", "ol") and self.lists))
         if name == "table":
-            self.tables.append([])
-        elif name == "tr" and self.tables:
+            self.tables.append([] if len(self.tables) < DEEP else None)
+        elif name == "tr" and self.tables and self.tables[-1] is not None:
             self.tables[-1].append([])
         elif name in ("ul", "ol", "menu"):
             self.lists.append([name, int(given["start"]) - 1 if given.get("start", "").isascii() and given.get("start", "").isdigit() else 0])
@@ -176,7 +221,7 @@ class _Page:
             if self.lists:
                 self.lists[-1][1] += 1
                 mark = f"{self.lists[-1][1]}. " if self.lists[-1][0] == "ol" else mark
-            box.line = ["  " * depth + mark]
+            box.line = ["  " * min(depth, DEEP) + mark]
         elif name in ("pre", "xmp", "textarea"):
             self.pre += 1
         return True
@@ -185,17 +230,19 @@ class _Page:
         """Closes all elements from the k-th on."""
         while len(self.stack) > k:
             name = self.stack.pop()
+            self.open[name].pop()
             if self.unseen:
                 self.unseen -= 1
                 continue
             box = self.boxes[-1]
             if name in ("td", "th"):
-                if self.tables:
-                    text = self.boxes.pop().text()
-                    self.tables[-1][-1].append(text)
+                if self.tables and self.tables[-1] is None:
+                    box.end_line()
+                elif self.tables:
+                    self.tables[-1][-1].append((self.boxes.pop().text(), *self.spans.pop()))
                 continue
             if name == "table":
-                lines = _laid_out(self.tables.pop())
+                lines = _laid_out(self.tables.pop() or [])
                 box.end_line()
                 box.lines += lines
             elif name in ("ul", "ol", "menu") and self.lists:
@@ -208,7 +255,7 @@ class _Page:
                 box.end_line(blank=name in SPACED and not (name in ("ul", "ol") and self.lists))
 
     def foreign(self) -> bool:
-        return not FOREIGN.isdisjoint(self.stack)
+        return any(self.last(x) >= 0 for x in FOREIGN)
 
     def end_head(self) -> None:
         """Closes a head that is open without an element in it."""
@@ -232,16 +279,16 @@ def render(page: str) -> str:
         at, name = m.end(), m[2]
         if name is None:
             if m[0] == "<":
+                if TAG.match(page, m.start()):  # cut off by the page's end
+                    at = m.start()
+                    break
                 out.text("<")
             continue
         name = name.lower()
         if m[1]:
-            for k in range(len(out.stack) - 1, -1, -1):
-                if out.stack[k] == name:
-                    out.close(k)
-                    break
-                if out.stack[k] in ("td", "th", "table") and name not in ("table", "tr", "thead", "tbody", "tfoot", "body", "html"):
-                    break
+            k = out.last(name)
+            if k >= 0 and (name in BEYOND or k >= max(map(out.last, CELLS))):
+                out.close(k)
             continue
         if out.start(name, m[3]) and name in RAW:
             # in the page itself: lower case may differ in length
