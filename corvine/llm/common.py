@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -20,10 +21,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Scratch folder of each application and shared place, and the tables made in them.
+_folders: dict[tuple[str, str], str] = {}
+_made: list[str] = []
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def scratch(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; where unset (tests), a temporary one of our own."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; where unset and all runs in one process (tests), a temporary one of our own."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not place:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = tempfile.mkdtemp(prefix="corvine-")
         atexit.register(shutil.rmtree, place, True)
         spark.sparkContext.setCheckpointDir(f"file://{place}")
@@ -32,7 +45,27 @@ def scratch(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession) -> str:
-    return f"{scratch(spark)}/corvine-{uuid.uuid4().hex}"
+    """A new path in the application's scratch folder, which goes when the driver ends."""
+    key = spark.sparkContext.applicationId, scratch(spark)
+    if key not in _folders:
+        _folders[key] = f"{key[1]}/corvine-{uuid.uuid4().hex}"
+        files, where = _file_system(spark, _folders[key])
+        files.mkdirs(where)
+        files.deleteOnExit(where)
+    _made.append(f"{_folders[key]}/{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def drop_scratch(spark: SparkSession, since: int) -> None:
+    """Deletes the scratch tables made since ``scratch_mark``; what still reads them fails."""
+    for path in _made[since:]:
+        files, where = _file_system(spark, path)
+        files.delete(where, True)
+    del _made[since:]
+
+
+def scratch_mark() -> int:
+    return len(_made)
 
 
 def keep(df: DataFrame, compression: str = "snappy") -> DataFrame:

@@ -12,7 +12,8 @@ The sample's size is fixed in words: it is the longest prefix in rank order that
 document that brings the source nearest to its target, if one brings it nearer.
 
 Ranks are found without sorting a source: words are summed by source and bin of rank, running sums over at most ``BINS`` bins give
-the bin where the target is reached, and only that bin is ranked row by row. Decisions are thresholds by source, applied to
+the bin where the target is reached, and only that bin is ranked row by row. Weights and levels are found in one task, over a
+row for each source: for up to some ten millions of sources. Decisions are thresholds by source, applied to
 rows where they are; a table of one row for each source is broadcast if small.
 
 Cases: null and empty texts have size 0 and are never taken; a source of size 0 has target 0; rows alike in doc_id and text

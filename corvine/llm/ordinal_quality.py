@@ -6,8 +6,8 @@ and tail probabilities P(grade >= k) for selection.
 
 A word's punctuation at its ends is taken off and hashed by itself, so that "idiot," and "idiot" share a weight.
 
-Training takes at most ``MOST`` labelled documents, those with the least digest of doc_id, whole texts, as hashed word
-weights, and runs on the driver until the gradient settles: ``MOST`` and ``DIM`` bound its memory. The model, DIM numbers, is broadcast; all documents are
+Training takes at most ``MOST`` labelled rows, those of the ``MOST`` least digests of doc_id, and of them those of the least
+digests of id and text, whole texts, as hashed word weights, and runs on the driver until the gradient settles: ``MOST`` and ``DIM`` bound its memory. The model, DIM numbers, is broadcast; all documents are
 scored where they are, without a shuffle.
 
 Cases: null and empty texts score by thresholds alone; labels of unknown documents or with nulls are ignored, of several labels
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import row_key, table
 from .wordhash import Words, bytes_hash, columns, lists
 
 DIM_BITS, MOST, GRADES = 16, 20_000, 3
@@ -61,7 +61,7 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j, data, offsets in columns(batch, "text", lower=True):
             text, index, value = features(data, offsets)
             sizes = np.bincount(text, minlength=j - i)
-            yield pa.record_batch([batch.column(0).slice(i, j - i), lists(index, sizes, np.int32), lists(value, sizes, np.float32)], names=["grade", "index", "value"])
+            yield pa.record_batch([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), lists(index, sizes, np.int32), lists(value, sizes, np.float32)], names=["grade", "k", "index", "value"])
 
 
 @dataclass(frozen=True)
@@ -124,7 +124,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model | None:
     graded = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.expr("case when toxic >= 1 then 0 when quality >= 1 then 2 else 1 end")).alias("grade"))
     chosen = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # at most ``most`` rows of two numbers
-    rows = known.select("grade", "text").mapInArrow(_vectors, "grade int, index array<int>, value array<float>").toArrow().combine_chunks()
+    vectors = known.select("grade", "text", row_key(F.col("doc_id"), F.col("text")).alias("k")).mapInArrow(_vectors, "grade int, k long, index array<int>, value array<float>")
+    rows = vectors.orderBy("k").limit(most).toArrow().combine_chunks()  # also where doc_ids repeat
     if not rows.num_rows or len(rows["grade"].unique()) < 2:
         return None
     index, value = (rows[k].combine_chunks() for k in ("index", "value"))

@@ -9,8 +9,8 @@ labelled documents, such that few good ones are rejected:
 - Testing stops at the first cutoff that isn't significant (fixed-sequence testing needs no correction within a sequence);
   the level of each sequence is ``delta / (rules * strata)`` (Bonferroni over sequences).
 
-So with probability 1 - delta, in every stratum all rules together reject at most ``risk`` of the good documents. A stratum
-with few labels gets no cutoff and rejects by the base rules alone. The cutoffs are fixed beforehand, so all labelled rows
+So with probability 1 - delta, in every stratum all rules together reject at most ``risk`` of the good documents that pass
+the base; what the base rejects is fixed by its own rules and under no such bound. A stratum with few labels gets no cutoff and rejects by the base rules alone. The cutoffs are fixed beforehand, so all labelled rows
 serve as the holdout.
 
 Cases: null or empty texts have zero counts and fail the base; labels of unknown documents, and null ones, are ignored; of
