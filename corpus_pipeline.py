@@ -1,4 +1,8 @@
-"""A corpus pipeline in five stages, each written as Parquet and read by the next."""
+"""A corpus pipeline in five stages, each written as Parquet and read by the next.
+
+Cases, in every stage: an empty table gives an empty one; extra columns, whatever their names, stay as they are up to the
+token files; rows alike in doc_id and text share their fate, except that near duplicates keep one of them.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvine.llm import decontaminate, mixing, ngram_jaccard, quality_rules, token_files
-from corvine.llm.common import broadcast_if_small, keep, row_key, scratch_path, table
+from corvine.llm.common import broadcast_if_small, drop_scratch, keep, row_key, scratch_mark, scratch_path, table
 
 #: Keys of documents to drop (8 bytes) that may be broadcast; beyond, the join shuffles.
 SMALL_ROWS = 1_000_000
@@ -28,7 +32,7 @@ def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base or the risk-controlled rules reject go."""
+    """Documents that the base or the risk-controlled rules reject go; so do null and empty texts, which fail the base."""
     judged = quality_rules.judge(docs, table(spark, sf_dir, "labels"))
     return _without(docs, judged.where("not kept").select("k"))
 
@@ -49,18 +53,18 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a word inside a benchmark window go."""
+    """Documents with a word inside a benchmark window go; null and empty texts have none and stay."""
     found = decontaminate.hits(docs, table(spark, sf_dir, "benchmark"))
     return _without(docs, found.where("n_hit > 0").select("k"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
+    """Each document as often as the mix of sources takes it; null and empty texts are never taken, a null source is one."""
     return mixing.mixed(docs)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of what is left, and their index: a row for each document as read back."""
+    """Token files of what is left, and their index: a row for each document as read back; a null text is the end id alone."""
     return token_files.encoded(docs)
 
 
@@ -76,9 +80,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows over the whole table of documents; what each stage kept for itself is deleted once it is written."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         path = scratch_path(spark)
+        mark = scratch_mark()
         stage(spark, docs, sf_dir).write.parquet(path)
+        drop_scratch(spark, mark)
         docs = spark.read.parquet(path)
     return docs
