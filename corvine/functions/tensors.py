@@ -8,6 +8,19 @@ from pyspark.sql import functions as F
 #: kbar to eV/Angstrom^3: 1e8 J/m^3, 1.6021766208e-19 J/eV, 1e30 A^3/m^3
 KBAR = 6.241509125883257e-4
 
+#: The elements' symbols by atomic number, from 1: fixed values.
+SYMBOLS = (
+    "H He Li Be B C N O F Ne Na Mg Al Si P S Cl Ar K Ca Sc Ti V Cr Mn Fe Co Ni Cu Zn Ga Ge As Se Br Kr Rb Sr Y Zr Nb Mo Tc Ru Rh Pd Ag Cd In Sn Sb Te I Xe "
+    "Cs Ba La Ce Pr Nd Pm Sm Eu Gd Tb Dy Ho Er Tm Yb Lu Hf Ta W Re Os Ir Pt Au Hg Tl Pb Bi Po At Rn Fr Ra Ac Th Pa U Np Pu Am Cm Bk Cf Es Fm Md No Lr Rf Db Sg "
+    "Bh Hs Mt Ds Rg Cn Nh Fl Mc Lv Ts Og"
+).split()
+
+
+def atomic_number(symbol: Column) -> Column:
+    """The number of an element's symbol; null for another text."""
+    place = F.array_position(F.array(*map(F.lit, SYMBOLS)), symbol)
+    return F.when(place > 0, place.cast("int"))
+
 
 def voigt_to_matrix(v: Column) -> Column:
     """xx, yy, zz, yz, xz, xy to a symmetric 3x3 matrix."""
@@ -62,7 +75,7 @@ def label_and_path(argument: Column) -> tuple[Column, Column]:
 
 def gpus(resource: Column) -> Column:
     """GPUs of a resource string: the last field of its first gpu item, 1 if that is no number, 0 without an item."""
-    item = F.get(F.filter(F.transform(F.split(resource, ","), F.trim), lambda x: F.get(F.split(x, ":"), 0) == "gpu"), 0)
+    item = F.get(F.filter(F.transform(F.split(resource, ","), lambda x: F.trim(x)), lambda x: F.get(F.split(x, ":"), 0) == "gpu"), 0)
     fields = F.split(item, ":")
     return F.when(item.isNull(), 0).when(F.size(fields) == 1, 1).otherwise(F.coalesce(F.element_at(fields, -1).try_cast("int"), F.lit(1)))
 

@@ -1,27 +1,30 @@
-"""Configuration on the driver: nested dictionaries and lists of defaults, in plain Python."""
+"""Configuration on the driver: mappings and lists of defaults, in plain Python. Inputs are left alone; results share what didn't change."""
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+from functools import reduce
 from typing import Any
 
 
-def set_nested(config: dict[str, Any], keys: list[str], value: Any) -> dict[str, Any]:
-    """Sets config[k1][k2]...; levels that don't exist are made."""
-    at = config
-    for key in keys[:-1]:
-        if key not in at:
-            at[key] = {}
-        at = at[key]
-    at[keys[-1]] = value
-    return config
+def set_nested(config: Mapping[str, Any], keys: Sequence[str], value: Any) -> dict[str, Any]:
+    """``config`` merged with a chain of one-key mappings that ends in the value; what isn't a mapping on the way is replaced."""
+    chain = reduce(lambda inner, key: {key: inner}, reversed(keys), value)
+    return merged(config, chain) if keys else value
 
 
-def set_default(defaults: list, key: str, value: Any) -> list:
-    """Replaces the first entry with the key, or puts one in front."""
+def merged(config: Any, change: Any) -> Any:
+    """``change`` laid over ``config``, level by level; a key that is new comes last."""
+    if not isinstance(config, Mapping) or not isinstance(change, Mapping):
+        return change
+    return {**config, **{k: merged(config.get(k), v) for k, v in change.items()}}
+
+
+def set_default(defaults: Sequence[Any], key: str, value: Any) -> list[Any]:
+    """``defaults`` with the first entry that has the key replaced at that key, or with a new entry in front."""
     if not isinstance(defaults, list):
         raise TypeError("defaults must be a list")
-    entry = next((x for x in defaults if isinstance(x, dict) and key in x), None)
-    if entry is None:
+    places = [i for i, entry in enumerate(defaults) if isinstance(entry, Mapping) and key in entry]
+    if not places:
         return [{key: value}, *defaults]
-    entry[key] = value
-    return defaults
+    return [*defaults[: places[0]], {**defaults[places[0]], key: value}, *defaults[places[0] + 1 :]]

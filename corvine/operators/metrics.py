@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.tensors import norm
+
 
 def mae(p: Column, t: Column) -> Column:
     return F.avg(F.abs(p - t))
@@ -27,6 +29,11 @@ def rmsd(x: Column) -> Column:
     return F.sqrt(F.avg(x * x))
 
 
+def l2_norm_loss(p: Column, t: Column) -> Column:
+    """The mean length of the difference of two vectors."""
+    return F.avg(norm(F.zip_with(p, t, lambda a, b: a.cast("double") - b.cast("double"))))
+
+
 def weighted_loss(energy: Column, forces: Column, stress: Column, weights: tuple[float, float, float] = (20, 2, 1)) -> Column:
     e, f, s = weights
     return e * energy + f * forces + s * stress

@@ -40,21 +40,25 @@ def digest(key: Column, seed: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
-def hashed_rank(df: DataFrame, key: str, seed: str, name: str = "rank") -> DataFrame:
-    """``df`` with each row's rank (from 1) by the digest of seed and key, then key."""
+def hashed_rank(df: DataFrame, key: str, seed: str, name: str = "rank", total: str | None = None) -> DataFrame:
+    """``df`` with each row's rank (from 1) by the digest of seed and key, then key; ``total`` names a column for the number of rows."""
     placed = df.withColumn("_d", digest(F.col(key), seed)).withColumn("_bin", F.substring("_d", 1, 3))  # 4096 bins
-    counts = placed.groupBy("_bin").count()
-    before = counts.withColumn("_before", F.coalesce(F.sum("count").over(W.orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_bin", "_before")
+    upto = W.orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
+    before = placed.groupBy("_bin").count().select("_bin", F.coalesce(F.sum("count").over(upto), F.lit(0)).alias("_before"), F.sum("count").over(W.partitionBy()).alias("_total"))
     ranked = placed.join(F.broadcast(before), "_bin")  # at most 4096 rows
-    return ranked.withColumn(name, F.col("_before") + F.row_number().over(W.partitionBy("_bin").orderBy("_d", key))).drop("_d", "_bin", "_before")
+    ranked = ranked.withColumn(name, F.col("_before") + F.row_number().over(W.partitionBy("_bin").orderBy("_d", key)))
+    return (ranked.withColumn(total, F.col("_total")) if total else ranked).drop("_d", "_bin", "_before", "_total")
 
 
 def hashed_split(df: DataFrame, key: str, fraction: float, seed: str, rank: str = "rank") -> DataFrame:
-    """``df`` with rank and split (train, val)."""
-    cut = train_size(df.count(), fraction)
-    return hashed_rank(df, key, seed, rank).withColumn("split", F.when(F.col(rank) <= cut, "train").otherwise("val"))
+    """``df`` with rank and split (train, val); raises, when it runs, where a side would be empty. The rows are counted in the same plan."""
+    if not 0 < fraction < 1:
+        raise ValueError("the fraction must lie between 0 and 1")
+    size = F.floor(F.lit(float(fraction)) * F.col("_n"))
+    checked = F.when((size < 1) | (size >= F.col("_n")), F.raise_error(F.lit(f"too few rows to split by {fraction}")).cast("long")).otherwise(size)
+    return hashed_rank(df, key, seed, rank, "_n").withColumn("split", F.when(F.col(rank) <= checked, "train").otherwise("val")).drop("_n")
 
 
 def hashed_half(df: DataFrame, key: str, seed: str) -> DataFrame:
     """Half of the rows, rounded down."""
-    return hashed_rank(df, key, seed, "_rank").where(F.col("_rank") <= df.count() // 2).drop("_rank")
+    return hashed_rank(df, key, seed, "_rank", "_n").where(F.col("_rank") <= F.floor(F.col("_n") / 2)).drop("_rank", "_n")

@@ -6,48 +6,35 @@ an embedding a latent vector or tensor, a user's events in time order a training
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import tensors as T
 from ..operators import lookups, metrics, splits
+from ..sources import logs
+from .registry import QUERIES, SQL, query
+from .registry import read_table as _t
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL", "flagship"]
 
-#: reference energies of the stand-in elements; 7 has none
-REFERENCES = [(z, 1000.0 * z) for z in range(1, 7)]
-REF_SQL = ", ".join(f"({z}, {e})" for z, e in REFERENCES)
-LOG_LINE = r"Epoch\s+(\d+):.*?MAE_E_per_atom=\s*([0-9.eE+-]+).*?MAE_F=\s*([0-9.eE+-]+)"
+#: reference energies of the stand-in elements; ``SOME`` leaves out 7
+REFERENCES = [(z, 1000.0 * z) for z in range(1, 8)]
+SOME = REFERENCES[:-1]
+REF_SQL, SOME_SQL = (", ".join(f"({z}, {e})" for z, e in rows) for rows in (REFERENCES, SOME))
 REQUIRED = ["energy", "forces", "stress", "signup", "view"]
 
 
-def query(sql: str):
-    def add(f):
-        QUERIES[f.__name__], SQL[f.__name__] = f, sql
-        return f
-
-    return add
-
-
-def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
 def _atoms(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("z"))
 
 
-def _references(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(REFERENCES, "z int, e_ref double")
+def _references(spark: SparkSession, rows: list[tuple[int, float]] = REFERENCES) -> DataFrame:
+    return spark.createDataFrame(rows, "z int, e_ref double")
 
 
-@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 37 = 0)")
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def q01_select_by_index(spark, d):
-    indices = _t(spark, d, "orders").where("o_orderkey % 37 = 0").select(F.col("o_orderkey").alias("l_orderkey"))
+    indices = _t(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey"))
     return lookups.select_by_index(_t(spark, d, "lineitem"), indices, "l_orderkey").select("l_orderkey", "l_linenumber", "l_quantity")
 
 
@@ -105,9 +92,9 @@ def q08_ref_subtract(spark, d):
     return out.select("o_orderkey", "n_atoms", F.round("residual", 4).alias("residual"))
 
 
-@query(f"SELECT DISTINCT l_linenumber AS z FROM lineitem WHERE l_linenumber NOT IN (SELECT z FROM (VALUES {REF_SQL}) AS r(z, e_ref))")
+@query(f"SELECT DISTINCT l_linenumber AS z FROM lineitem WHERE l_linenumber NOT IN (SELECT z FROM (VALUES {SOME_SQL}) AS r(z, e_ref))")
 def q09_missing_ref(spark, d):
-    return lookups.missing_references(_atoms(spark, d), _references(spark))
+    return lookups.missing_references(_atoms(spark, d), _references(spark, SOME))
 
 
 @query("""SELECT d.doc_id, CAST(coalesce(CASE WHEN l.toxic = 1 THEN l.quality END, l.toxic, d.n_chars) AS BIGINT) AS target FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""")
@@ -118,37 +105,61 @@ def q10_target_coalesce(spark, d):
     return rows.select("doc_id", T.resolve_target(["energy"], info, arrays, F.col("n_chars")).alias("target"))
 
 
-@query(rf"""SELECT event_id, CAST(regexp_extract(line, '{LOG_LINE}', 1) AS INTEGER) AS epoch, CAST(regexp_extract(line, '{LOG_LINE}', 2) AS DOUBLE) AS E, CAST(regexp_extract(line, '{LOG_LINE}', 3) AS DOUBLE) AS F
-FROM (SELECT event_id, 'INFO Epoch ' || user_id || ': loss=1, MAE_E_per_atom= ' || event_id || '.5 meV, MAE_F= ' || user_id || '.25' AS line FROM events WHERE event_type = 'view')""")
-def q11_log_regex(spark, d):
-    line = F.concat(F.lit("INFO Epoch "), "user_id", F.lit(": loss=1, MAE_E_per_atom= "), "event_id", F.lit(".5 meV, MAE_F= "), "user_id", F.lit(".25"))
-    rows = _t(spark, d, "events").where("event_type = 'view'").select("event_id", line.alias("line"))
-    part = lambda i: F.regexp_extract("line", LOG_LINE, i)
-    return rows.select("event_id", part(1).try_cast("int").alias("epoch"), T.try_number(part(2)).alias("E"), T.try_number(part(3)).alias("F"))
+def _log_files(spark, d, line) -> DataFrame:
+    """path and content of a log for each user, with a line for each event, in time order."""
+    rows = _t(spark, d, "events").select(F.col("user_id").cast("string").alias("path"), F.struct("ts", "event_id", line.alias("line")).alias("r"))
+    return rows.groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["line"]), "\n").alias("content"))
+
 
+_kind = lambda kind: F.col("event_type") == kind
+_number = lambda c, tail="": F.concat(F.col(c).cast("string"), F.lit(tail))
+LINES_SQL = "l AS (SELECT CAST(user_id AS VARCHAR) AS path, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS line, * FROM events)"
 
-@query("""WITH r AS (SELECT *, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS header FROM events)
-SELECT user_id, header, round(arg_max(value, ts) FILTER (event_type = 'view'), 6) AS E, round(arg_max(value, ts) FILTER (event_type = 'click'), 6) AS F, round(arg_max(value, ts) FILTER (event_type = 'error'), 6) AS S
-FROM r WHERE header IS NOT NULL GROUP BY user_id, header""")
+
+@query(f"""WITH {LINES_SQL} SELECT path, CAST(user_id AS INTEGER) AS epoch, line, event_id + 0.5::DOUBLE AS E, user_id + 0.25::DOUBLE AS F, 30::DOUBLE AS S FROM l WHERE event_type = 'view'""")
+def q11_log_regex(spark, d):
+    found = F.concat(F.lit("INFO Epoch "), "user_id", F.lit(": loss=1, MAE_E_per_atom= "), _number("event_id", ".5 meV, MAE_F= "), _number("user_id", ".25, MAE_stress=  3e1"))
+    return logs.text_rows(_log_files(spark, d, F.when(_kind("view"), found).otherwise(F.concat(F.lit("Epoch 7 "), "event_type"))))
+
+
+@query(f"""WITH RECURSIVE {LINES_SQL},
+s(path, line, epoch, E, F, S, oE, oF, oS) AS (
+  SELECT DISTINCT path, -1, CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE) FROM l
+  UNION ALL
+  SELECT path, line, epoch, CASE WHEN NOT done THEN E END, CASE WHEN NOT done THEN F END, CASE WHEN NOT done THEN S END, CASE WHEN done THEN E END, CASE WHEN done THEN F END, CASE WHEN done THEN S END
+  FROM (SELECT *, E IS NOT NULL AND F IS NOT NULL AND S IS NOT NULL AS done FROM (
+    SELECT l.path, l.line, CASE WHEN l.event_type = 'signup' THEN l.event_id ELSE s.epoch END AS epoch,
+      CASE WHEN l.event_type = 'signup' OR s.epoch IS NULL THEN NULL WHEN l.event_type = 'view' THEN l.event_id + 0.5 ELSE s.E END AS E,
+      CASE WHEN l.event_type = 'signup' OR s.epoch IS NULL THEN NULL WHEN l.event_type = 'click' THEN l.event_id + 0.25 ELSE s.F END AS F,
+      CASE WHEN l.event_type = 'signup' OR s.epoch IS NULL THEN NULL WHEN l.event_type = 'error' THEN l.event_id ELSE s.S END AS S
+    FROM s JOIN l ON l.path = s.path AND l.line = s.line + 1)))
+SELECT path, CAST(epoch AS INTEGER) AS epoch, round(oE * 1000, 3) AS E, round(oF * 1000, 3) AS F, round(oS * 1000, 3) AS S FROM s WHERE oE IS NOT NULL""")
 def q12_log_state_machine(spark, d):
-    head = F.when(F.col("event_type") == "signup", F.col("event_id"))
-    rows = _t(spark, d, "events").withColumn("h", head).withColumn("header", metrics.carried_forward("h", ["user_id"], ["ts", "event_id"])).where("header is not null")
-    last = lambda kind, name: F.round(F.max_by(F.when(F.col("event_type") == kind, F.col("value")), F.when(F.col("event_type") == kind, F.col("ts"))), 6).alias(name)
-    return rows.groupBy("user_id", "header").agg(last("view", "E"), last("click", "F"), last("error", "S"))
+    of = {"signup": F.concat(F.lit("\x1b[1mEval Epoch "), "event_id", F.lit("\x1b[0m")), "view": F.concat(F.lit("val/a energy,per_atom_mae: "), _number("event_id", ".5"))}
+    of |= {"click": F.concat(F.lit("x val/a forces,mae: "), _number("event_id", ".25")), "error": F.concat(F.lit("val/a stress,mae: "), "event_id")}
+    line = F.coalesce(*(F.when(_kind(k), v) for k, v in of.items()), F.lit("other"))
+    return logs.stateful_rows(_log_files(spark, d, line)).select("path", "epoch", *(F.round(c, 3).alias(c) for c in "EFS"))
 
 
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) * 1000 AS k FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL AND event_type = 'click'")
+@query(f"""WITH {LINES_SQL} SELECT path, CAST(user_id AS INTEGER) AS epoch, line, CAST(json_extract_string(props, '$.k') AS DOUBLE) * 1000 AS E, event_id * 1000::DOUBLE AS F, 500::DOUBLE AS S FROM l
+WHERE event_type = 'click' AND json_extract_string(props, '$.k') IS NOT NULL""")
 def q13_json_eval_rows(spark, d):
     k = F.get_json_object("props", "$.k").try_cast("double")
-    return _t(spark, d, "events").where((F.col("event_type") == "click") & k.isNotNull()).select("event_id", (k * 1000).alias("k"))
+    found = F.to_json(F.struct(F.lit("eval").alias("mode"), F.col("user_id").alias("epoch"), k.alias("mae_e_per_atom"), F.col("event_id").alias("mae_f"), F.lit(0.5).alias("mae_stress")))
+    return logs.jsonl_rows(_log_files(spark, d, F.when(_kind("click"), found).when(_kind("view"), F.lit('{"mode": "opt"}')).otherwise(F.lit("text"))))
 
 
-@query("""WITH a AS (SELECT user_id, rank, event_id FROM (SELECT user_id, CASE event_type WHEN 'error' THEN 0 WHEN 'signup' THEN 1 ELSE 2 END AS rank, event_id FROM events) WHERE rank < 2)
-SELECT user_id, CAST(min(rank) AS INTEGER) AS dialect, CAST(count(*) AS BIGINT) AS n FROM (SELECT *, min(rank) OVER (PARTITION BY user_id) AS best FROM a) WHERE rank = best GROUP BY user_id""")
+@query("""WITH f AS (SELECT * FROM events WHERE event_type IN ('view', 'click', 'error')),
+b AS (SELECT user_id, arg_max(event_id, ts) AS event_id FROM f GROUP BY user_id)
+SELECT CAST(f.user_id AS VARCHAR) AS label, 'f' || event_id AS path, CAST(user_id AS INTEGER) AS epoch, CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS line,
+  CASE WHEN event_type = 'click' THEN 2000 ELSE event_id END::DOUBLE AS E, CASE WHEN event_type = 'click' THEN 3000 ELSE 2 END::DOUBLE AS F, CASE WHEN event_type = 'click' THEN 4000 ELSE 3 END::DOUBLE AS S
+FROM f JOIN b USING (user_id, event_id)""")
 def q14_parser_cascade(spark, d):
-    rank = F.when(F.col("event_type") == "error", 0).when(F.col("event_type") == "signup", 1)
-    counts = _t(spark, d, "events").select("user_id", rank.alias("dialect")).where("dialect is not null").groupBy("user_id", "dialect").agg(F.count("*").alias("n"))
-    return counts.groupBy("user_id").agg(F.min(F.struct("dialect", "n")).alias("b")).select("user_id", "b.dialect", "b.n")
+    text = F.concat(F.lit("Epoch "), "user_id", F.lit(": MAE_E_per_atom= "), "event_id", F.lit(", MAE_F= 2, MAE_stress= 3"))
+    json = F.concat(F.lit('\n{"mode": "eval", "epoch": '), "user_id", F.lit(', "mae_e_per_atom": 2, "mae_f": 3, "mae_stress": 4}'))
+    content = F.when(_kind("view"), text).when(_kind("click"), json).when(_kind("error"), F.concat(text, json)).otherwise(F.lit("nothing"))
+    files = _t(spark, d, "events").select(F.col("user_id").cast("string").alias("label"), F.concat(F.lit("f"), "event_id").alias("path"), F.col("ts").alias("mtime"), content.alias("content"))
+    return logs.cascade(files).withColumn("line", F.col("line").cast("int"))
 
 
 @query("""SELECT l_returnflag, round(avg(abs(l_extendedprice - 1000 * l_quantity)), 4) AS mae, round(avg(abs(l_extendedprice - 1000 * l_quantity) / l_linenumber), 4) AS per_atom_mae, round(avg(pow(l_discount - l_tax, 2)), 8) AS mse
@@ -205,10 +216,11 @@ def q23_long_table_union(spark, d):
     return part("orders", "orders", "o_totalprice").unionByName(part("lineitem", "lines", "l_extendedprice"))
 
 
-@query("""SELECT l_linestatus, round(20 * avg(abs(l_discount - l_tax)) + 2 * avg(abs(l_quantity - 25)) + avg(abs(l_tax)), 6) AS loss FROM lineitem GROUP BY l_linestatus""")
+@query("""SELECT l_linestatus, round(20 * avg(abs(l_discount - l_tax) / l_linenumber) + 2 * avg(sqrt(pow(l_quantity - 25, 2) + pow(l_discount, 2) + pow(l_tax - 1, 2))) + avg(abs(l_tax)), 6) AS loss FROM lineitem GROUP BY l_linestatus""")
 def q24_weighted_loss(spark, d):
-    e, f, s = metrics.mae(F.col("l_discount"), F.col("l_tax")), metrics.mae(F.col("l_quantity"), F.lit(25)), metrics.mae(F.col("l_tax"), F.lit(0.0))
-    return _t(spark, d, "lineitem").groupBy("l_linestatus").agg(F.round(metrics.weighted_loss(e, f, s), 6).alias("loss"))
+    forces = F.array("l_quantity", "l_discount", "l_tax"), F.array(F.lit(25.0), F.lit(0.0), F.lit(1.0))
+    loss = metrics.weighted_loss(metrics.per_atom_mae(F.col("l_discount"), F.col("l_tax"), F.col("l_linenumber")), metrics.l2_norm_loss(*forces), metrics.mae(F.col("l_tax"), F.lit(0.0)))
+    return _t(spark, d, "lineitem").groupBy("l_linestatus").agg(F.round(loss, 6).alias("loss"))
 
 
 @query("""SELECT l_orderkey, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS flagged, bool_and(l_quantity > 5) AS all_valid, bool_or(l_tax > 0.07) AND bool_or(l_discount > 0.05) AS have_all FROM lineitem GROUP BY l_orderkey""")

@@ -6,8 +6,10 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from corvine.functions import tensors as T
+from corvine import __main__ as cli
 from corvine.operators import control, lookups, metrics, splits
-from corvine.sources import frames, logs, sinks
+from corvine.plans import workflow
+from corvine.sources import configs, frames, logs, sinks
 
 
 def one(spark, column, **values):
@@ -33,7 +35,7 @@ def test_voigt_and_shapes(spark):
         one(spark, T.reshape_n3(F.col("v"), F.lit(3)), v=v)
 
 
-@pytest.mark.parametrize("text,n", [("gpu:4", 4), ("gpu", 1), ("gpu:a100:2", 2), ("gpu:a100", 1), ("cpu:3,gpu:1", 1), ("", 0)])
+@pytest.mark.parametrize("text,n", [("gpu:4", 4), ("gpu", 1), ("gpu:a100:2", 2), ("gpu:a100", 1), ("cpu:3,gpu:1", 1), ("cpu:3, gpu", 1), ("", 0)])
 def test_gpus(spark, text, n):
     assert one(spark, T.gpus(F.col("t")), t=(text, "string")) == n
 
@@ -139,7 +141,93 @@ def test_lookups_and_metrics(spark):
     assert metrics.descriptors(h, "f", "z", "h").first().descriptor == [5, 2]
 
 
+def test_references(spark):
+    frames_, atoms = spark.createDataFrame([(1, 10.0), (2, 500.0)], "f int, e double"), spark.createDataFrame([(1, z) for z in range(1, 201)] + [(2, 3)], "f int, z int")
+    every = spark.createDataFrame([(z, 0.5 * z) for z in range(1, 201)], "z int, e_ref double")
+    got = {r.f: (r.n_atoms, r.residual) for r in lookups.subtract_references(frames_, atoms, every, "f", "e").collect()}
+    assert got == {1: (200, 10 - 0.5 * 200 * 201 / 2), 2: (1, 498.5)}
+    for bad, said in ((every.where("z != 7"), "for 7"), (every.selectExpr("z", "if(z = 9, null, e_ref) e_ref"), "for 9"), (every.union(every.where("z = 4")), "several")):
+        with pytest.raises(ValueError, match=said):
+            lookups.subtract_references(frames_, atoms, bad, "f", "e")
+
+
+def test_zip_ordinals(spark):
+    a, b = spark.createDataFrame([(1,), (2,)], "i int"), spark.createDataFrame([(1, "x"), (2, "y")], "i int, v string")
+    assert sorted(map(tuple, lookups.zip_strict(a, b, "i").collect())) == [(1, "x"), (2, "y")]
+    for other in (b.selectExpr("i + 1 as i", "v"), b.selectExpr("1 as i", "v"), b.limit(1)):
+        with pytest.raises(ValueError):
+            lookups.zip_strict(a, other, "i")
+
+
+def test_small_splits_raise(spark):
+    with pytest.raises(PySparkException, match="too few rows"):
+        splits.hashed_split(spark.range(1), "id", 0.8, "s").collect()
+
+
+def test_losses(spark):
+    rows = spark.createDataFrame([([3.0, 4.0, 0.0], [0.0, 0.0, 0.0]), ([1.0, 1.0, 1.0], [1.0, 1.0, 2.0])], "p array<double>, t array<double>")
+    assert rows.agg(metrics.l2_norm_loss(F.col("p"), F.col("t")).alias("l")).first().l == 3
+
+
+def test_extxyz_frames(spark, tmp_path):
+    """Comments of one integer, frames without atoms, line ends and blank lines, in files that are split."""
+    (tmp_path / "a.xyz").write_text("1\n7\nH 0 0 0\n0\n5\n2\nc\nH 1 0 0\nHe 2 0 0\n\n")
+    (tmp_path / "b.extxyz").write_bytes(b"1\r\nx=1\r\nC 1 2 3\r\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16")
+    try:
+        got = [(r.file_rank, r.frame_ord, r.n, r.comment, r.species) for r in frames.in_file_order(frames.read_extxyz(spark, str(tmp_path))).collect()]
+        lines = frames.numbered_lines(spark, str(tmp_path)).where("path like '%a.xyz'").orderBy("line").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [(1, 0, 1, "7", ["H"]), (1, 1, 0, "5", []), (1, 2, 2, "c", ["H", "He"]), (2, 0, 1, "x=1", ["C"])]
+    assert [(r.line, r.text) for r in lines] == list(enumerate((tmp_path / "a.xyz").read_text().split("\n")[:-1]))
+
+
+def test_records_to_frames(spark):
+    site = '{"species": [{"element": "%s", "occu": 1}], "xyz": [0, 0, %d]}'
+    structure = '{"lattice": {"matrix": [[1, 0, 0], [0, 1, 0], [0, 0, 1]]}, "sites": [' + site % ("Fe", 1) + "," + site % ("Og", 2) + "]}"
+    kinds = "source_index long, structure string, energy double, forces array<array<double>>, stress string, matpes_id string"
+    row = (4, structure, 1.5, [[1.0, 2.0, 3.0], [4.0, 5.0, 6.0]], "[1, 2, 3, 4, 5, 6]", None)
+    got = frames.records_to_frames(spark.createDataFrame([row], kinds)).first()
+    assert got.numbers == [26, 118] and got.positions == [[0, 0, 1], [0, 0, 2]] and got.info == {"source_index": "4"} and got.stress[0][1] == 6 * T.KBAR
+    for bad in ((4, "{}", *row[2:]), (*row[:3], [[1.0]], *row[4:]), (*row[:4], "[1, 2]", None)):
+        with pytest.raises(PySparkException):
+            frames.records_to_frames(spark.createDataFrame([bad], kinds)).collect()
+
+
+def test_model_files(spark, tmp_path):
+    f = spark.createDataFrame([(3, 1, ["H"], [[0.0, 1.0, 2.0]], -1.5, [[4.0, 5.0, 6.0]], [1.0, 2.0, 3.0, 4.0, 5.0, 6.0])], "source_index long, n int, species array<string>, positions array<array<double>>, energy double, forces array<array<double>>, stress array<double>")
+    sinks.write_extxyz(sinks.model_ready(f, "m", flat_stress=False), "m", str(tmp_path / "x"), ["source_index"], ("source_index",))
+    got = frames.read_extxyz(spark, str(tmp_path / "x"), "txt$").first()
+    assert got.forces == [[4, 5, 6]] and got.positions == [[0, 1, 2]] and got.info["m_stress"] == "1.0 6.0 5.0 6.0 2.0 4.0 5.0 4.0 3.0" and got.info["source_index"] == "3"
+
+
+def test_command_line(spark, tmp_path, capsys):
+    site = '{"species": [{"element": "H", "occu": 1}], "xyz": [0, 0, 0]}'
+    records = [{"structure": {"lattice": {"matrix": [[1, 0, 0]] * 3}, "sites": [json.loads(site)]}, "energy": i, "forces": [[0, 0, i]], "stress": [0] * 6} for i in range(12)]
+    (tmp_path / "r.json").write_text(json.dumps(records))
+    (tmp_path / "i.txt").write_text("\n".join(map(str, range(11, 0, -1))))
+    cli.main(["curate", "--indices", str(tmp_path / "i.txt"), "--dataset-path", str(tmp_path / "r.json"), "--output-dir", str(tmp_path / "out"), "--limit", "10"])
+    counts = {s: spark.read.parquet(str(tmp_path / "out/frames")).where(F.col("split") == s).count() for s in workflow.SPLITS}
+    assert counts == {"all": 10, "train": 8, "val": 2, "half": 5, "half_train": 4, "half_val": 1}
+    kept = json.loads("".join(r.value for r in spark.read.text(str(tmp_path / "out/metadata/val"), wholetext=True).collect()))
+    assert kept["sample_size"] == 2 and kept["desired_frame_count"] == 10 and kept["stress_input_unit"] == "kbar"
+    (tmp_path / "c.yaml").write_text("b: 1\nval_dataset: {splits: {val: {src: old}}}\n")
+    cli.main(["paths", str(tmp_path / "c.yaml"), "--train", "/t", "--val", "/v", "--out", str(tmp_path / "c")])
+    assert configs.read_yaml(spark, str(tmp_path / "c")) == {"b": 1, "val_dataset": {"splits": {"val": {"src": "/v"}}}, "train_dataset": {"splits": {"train": {"src": "/t"}}}}
+    (tmp_path / "run.txt").write_text("Epoch 3: MAE_E_per_atom= 1, MAE_F= 2, MAE_stress= 3\n")
+    cli.main(["evaluate", f"a={tmp_path}/run.txt", "--out", str(tmp_path / "table")])
+    assert spark.read.csv(str(tmp_path / "table"), header=True).first().epoch == "3" and "1.0" in capsys.readouterr().out
+    with pytest.raises(IndexError):
+        workflow.curate(spark, str(tmp_path / "i.txt"), str(tmp_path / "r.json"), str(tmp_path / "no"), limit=None) if (tmp_path / "i.txt").write_text("99") else None
+
+
 def test_control():
-    assert control.set_nested({"a": {"b": 1}}, ["a", "c", "d"], 2) == {"a": {"b": 1, "c": {"d": 2}}}
-    assert control.set_default([{"data": 1}, {"data": 2}], "data", 9) == [{"data": 9}, {"data": 2}]
+    config = {"a": {"b": 1}, "z": 3}
+    assert control.set_nested(config, ["a", "c", "d"], 2) == {"a": {"b": 1, "c": {"d": 2}}, "z": 3}
+    assert control.set_nested(config, ["z", "y"], 1) == {"a": {"b": 1}, "z": {"y": 1}} and config == {"a": {"b": 1}, "z": 3}
+    defaults = [{"data": 1, "more": 0}, {"data": 2}]
+    assert control.set_default(defaults, "data", 9) == [{"data": 9, "more": 0}, {"data": 2}] and defaults == [{"data": 1, "more": 0}, {"data": 2}]
     assert control.set_default(["x"], "data", 9) == [{"data": 9}, "x"]
+    with pytest.raises(TypeError):
+        control.set_default({}, "data", 9)
