@@ -148,7 +148,27 @@ def read_back(segments: DataFrame, template: Template = Template()) -> DataFrame
     return segments.mapInArrow(_read(template), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")
 
 
+ASKED = "</s>[INST] ok [/INST]"
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = "</s>[INST] ok [/INST]"
-    more = spark.createDataFrame([(-1, 0, "user", asked), (-1, 1, "assistant", asked)], "conv_id long, turn long, role string, text string")
+    more = spark.createDataFrame([(-1, 0, "user", ASKED), (-1, 1, "assistant", ASKED)], "conv_id long, turn long, role string, text string")
     return read_back(formatted(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)))
+
+
+def _escapes_sql(text: str) -> str:
+    """How many backslashes escaping adds: one for each control string, whose first character backslashes may follow."""
+    t = Template()
+    patterns = [re.escape(c[0]) + r"\\*" + re.escape(c[1:]) for c in sorted({t.opening, t.said, t.closing, *t.reserved})]
+    return " + ".join(f"len(regexp_extract_all({text}, '{p}'))" for p in patterns)
+
+
+SQL = rf"""
+WITH c AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '{ASKED}'), (-1, 1, 'assistant', '{ASKED}')) AS v(conv_id, turn, role, text)),
+t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS i FROM c),
+s AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY i) AS before, {len(Template().opening + Template().said + Template().closing)} + length(role) + length(text) + {_escapes_sql("role")} + {_escapes_sql("text")} AS chars FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars,
+  bool_and(CASE WHEN i = 1 THEN role IN ('system', 'user') WHEN before IN ('system', 'assistant') THEN role = 'user' ELSE before = 'user' AND role = 'assistant' END) AS valid
+FROM s GROUP BY conv_id
+"""

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, keep, row_key, table
+from .common import LOWER, UPPER, WORD, broadcast_if_small, keep, row_key, table
 from .components import components
 from .wordhash import Words, columns, longs, mix, pair_hash
 
@@ -412,3 +412,16 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Data
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
+SQL = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[i : i + {N - 1}], ' ') AS s FROM (SELECT r, w, unnest(range(1, greatest(len(w) - {N - 1}, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+z AS (SELECT r, count(*) AS n, md5(string_agg(s, chr(10) ORDER BY s)) AS class FROM s GROUP BY r),
+p AS (SELECT a.r AS x, b.r AS y, count(*) AS shared FROM s a JOIN s b ON a.s = b.s AND a.r <> b.r GROUP BY a.r, b.r),
+l AS (SELECT x, y FROM p JOIN z a ON a.r = x JOIN z b ON b.r = y WHERE 100 * shared >= {PERCENT} * (a.n + b.n - shared)),
+reach(r, t) AS (SELECT r, r FROM d UNION SELECT reach.r, l.y FROM reach JOIN l ON l.x = reach.t),
+least AS (SELECT reach.r, min(doc_id) AS component_id FROM reach JOIN d ON d.r = t GROUP BY reach.r),
+same AS (SELECT class, min(doc_id) AS class_id FROM z JOIN d USING (r) GROUP BY class)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, CASE WHEN n IS NULL THEN doc_id ELSE class_id END AS class_id FROM d LEFT JOIN z USING (r) LEFT JOIN least USING (r) LEFT JOIN same USING (class)
+"""

@@ -16,4 +16,11 @@ QUERIES = {
     "op9_decontamination": decontaminate.query,
     "op10_mixing": mixing.query,
 }
-SQL = {"op2_quality_rules": quality_rules.SQL, "op9_decontamination": decontaminate.SQL, "op10_mixing": mixing.SQL}
+SQL = {
+    "op1_substring_dedup": substring_dedup.SQL,
+    "op2_quality_rules": quality_rules.SQL,
+    "op5_chat_formatting": chat.SQL,
+    "op7_ngram_jaccard": ngram_jaccard.SQL,
+    "op9_decontamination": decontaminate.SQL,
+    "op10_mixing": mixing.SQL,
+}

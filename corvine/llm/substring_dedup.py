@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, row_key, shuffles, table
+from .common import WORD, keep, row_key, shuffles, table
 from .wordhash import Words, columns, joined, leftmost_minima, lists, longs, pair_hash
 
 WINDOW, PHRASE = 35, 12
@@ -194,3 +194,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+g AS (SELECT r, i, array_to_string(w[i : i + {WINDOW - 1}], ' ') AS win FROM (SELECT r, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM d WHERE len(w) >= {WINDOW})),
+hot AS (SELECT win FROM g GROUP BY win HAVING count(*) > 1),
+c AS (SELECT DISTINCT r, q FROM (SELECT r, unnest(range(i, i + {WINDOW})) AS q FROM g JOIN hot USING (win))),
+k AS (SELECT r, string_agg(word, ' ' ORDER BY q) AS kept FROM (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS q FROM d) ANTI JOIN c USING (r, q) GROUP BY r),
+n AS (SELECT r, count(*) AS n FROM c GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r) LEFT JOIN n USING (r)
+"""

@@ -1,8 +1,11 @@
 """Operators against brute force, on texts with nulls, ties, repeats, empty and long texts, and extra columns."""
 
 import hashlib
+import html
+import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -133,25 +136,139 @@ def test_pii(docs):
     assert len(rows) == len({i for i, *_ in ROWS}) and rows[0] == []
 
 
+PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def plain_spans(text):
+    """Spans of the base kinds, by the patterns as stated and plain code."""
+    out = []
+    for rank, (kind, pattern) in enumerate(PLAIN.items()):
+        for m in re.finditer(pattern, text):
+            d = [int(x) for x in m[0] if x.isdigit()]
+            if kind == "ip" and any(int(x) > 255 for x in m[0].split(".")):
+                continue
+            if kind == "card" and not (12 <= len(d) <= 19 and sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(reversed(d))) % 10 == 0):
+                continue
+            if kind == "phone" and not 9 <= len(d) <= 15:
+                continue
+            out.append((m.start(), rank, f"{kind}:{m.start()}:{m.end()}"))
+    return [x[2] for x in sorted(out)]
+
+
+def test_pii_against_plain_code(spark, tmp_path):
+    r = random.Random(6)
+    texts = [t for _, t, *_ in ROWS] + ["", "٣٤٥ +٣", "1.2.3.4.5.6.7.8", "a@b.c@d.e", "+1 +49 30 1234567 89", "😀 4111-1111-1111-1111 é@b.de x@é.de", "255.255.255.255 256.1.1.1 00255.1.1.1", "12345678901234567890123"]
+    for pool, n in (("019.", 400), ("ab@.-", 400), ("0147 -", 600), ("+0123 ().-", 600), ("a1@.+ -é😀", 400)):
+        texts += ["".join(r.choice(pool) for _ in range(r.randint(1, 60))) for _ in range(n)]
+    spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, spans string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x.doc_id: x for x in pii.query(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    found = 0
+    for i, t in enumerate(texts):
+        want = plain_spans(t or "")
+        found += len(want)
+        assert got[i].base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest(), (t, want, got[i].spans)
+        assert [got[i][f"n_{k}"] for k in PLAIN] == [sum(x.startswith(k + ":") for x in want) for k in PLAIN]
+        base = [x for x in got[i].spans.split(",") if x and x.split(":")[0] in PLAIN]
+        assert base == want and got[i].n_spans == len([x for x in got[i].spans.split(",") if x])
+    assert found > 300
+
+
+def test_pii_secrets(spark):
+    r = random.Random(9)
+    hexes = "".join(r.choice("0123456789abcdef") for _ in range(40))
+    private = {"secret": [f'api token = "{hexes}" and', f"Authorization: Bearer {hexes}", f"TOKEN = {hexes.upper()}!!"], "key": ["id AKIA" + "Q7" * 8 + ".", "ghp_" + "a1B2" * 9, "xoxb-1234567890-abcdef", "-----BEGIN RSA PRIVATE KEY-----"]}
+    private |= {"password": ["password: hunter22", "pwd='s3cret-word'", "API_KEY=abc123def"], "ssn": ["social security 123-45-6789"], "iban": ["IBAN DE89 3704 0044 0532 0130 00"]}
+    clean = ["a token of thanks", f"commit {hexes} fixed it", "the secret: nobody knows", "password reset", "pages 123-45-6789", "internationalization-of-everything key", "2024-01-02 key figures"]
+    rows = [(i, t) for i, t in enumerate([t for ts in private.values() for t in ts] + clean)]
+    got = {x.doc_id: [s.kind for s in x.spans] for x in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    kinds = [k for k, ts in private.items() for _ in ts]
+    for i, text in rows:
+        assert (kinds[i] in got[i] if i < len(kinds) else not got[i]), (text, got[i])
+
+
 def test_pii_long_runs(spark):
     text = "1" * 50_000 + " " + "a" * 50_000 + "@" + " 1.2.3.4" * 300
     spans = pii.find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().spans
     assert [text[s.start : s.end] for s in spans] == ["1.2.3.4"] * 300
 
 
-@pytest.mark.parametrize("name,module", [("quality_rules", quality_rules), ("decontaminate", decontaminate), ("mixing", mixing)])
-def test_sql(spark, docs, tmp_path, name, module):
+def compared(got, module, tables):
+    """The rows of a query equal those of its SQL over the same tables."""
+    c = duckdb.connect()
+    for t, place in tables.items():
+        c.execute(f"CREATE TABLE {t} AS SELECT * FROM '{place}/*.parquet'")
+    columns = sorted(got.columns)
+    assert grouped(got.select(columns).collect()) == grouped(c.sql(module.SQL).select(*columns).fetchall())
+
+
+@pytest.mark.parametrize("module", [quality_rules, decontaminate, mixing, substring_dedup, ngram_jaccard], ids=lambda m: m.__name__.split(".")[-1])
+def test_sql(spark, docs, tmp_path, module):
     """The query over edge cases equals its SQL."""
     bench = [(1, " ".join(WORD.findall(ROWS[5][1])[20:60])), (2, "one"), (2, "one"), (3, None), (None, " ".join(WORD.findall(ROWS[9][1])[50:62])), (4, "a b c")]
     docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(bench, "item_id long, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
     spark.createDataFrame([(5, 1, 0), (5, 0, 0), (9999, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(str(tmp_path / "labels.parquet"))
-    got = module.query(spark, str(tmp_path))
-    c = duckdb.connect()
-    for t in ("documents", "benchmark", "labels"):
-        c.execute(f"CREATE TABLE {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
-    columns = sorted(got.columns)
-    assert grouped(got.select(columns).collect()) == grouped(c.sql(module.SQL).select(*columns).fetchall())
+    compared(module.query(spark, str(tmp_path)), module, {t: f"{tmp_path}/{t}.parquet" for t in ("documents", "benchmark", "labels")})
+
+
+def least_rejected(n, risk, level):
+    """The greatest k with P(X <= k) at most ``level``, X binomial of n and ``risk``; -1 without one."""
+    total, k = 0.0, -1
+    while (total := total + math.comb(n, k + 1) * risk ** (k + 1) * (1 - risk) ** (n - k - 1)) <= level:
+        k += 1
+    return k
+
+
+def test_cutoffs_at_their_bounds(spark, tmp_path):
+    """Each stratum stands on one side of a boundary: as many rejected as the bound allows, and one more."""
+    n, level = 900, quality_rules.DELTA / (len(quality_rules.RULES) * 4)
+    most = least_rejected(n, quality_rules.RISK / len(quality_rules.RULES), level)
+    assert 0 <= most < n
+    r = random.Random(8)
+    rows, labels = [], []
+
+    def add(lang, symbols, good=True):
+        letters = ["".join(r.choice("abcdefgh") for _ in range(8)) for _ in range(25)]
+        text = " ".join(letters)
+        for at in range(symbols):
+            text = text[: 9 * at] + "#" + text[9 * at + 1 :] if at < 25 else text.replace(" ", "# ", 1)
+        rows.append((len(rows), text, lang, len(rows) % 3, "extra"))
+        if good is not None:
+            labels.append((len(rows) - 1, int(good), 0))
+
+    # 11 of 200 characters lie between the cutoffs 0.05 and 0.06
+    for lang, over in (("at", most), ("above", most + 1)):
+        for i in range(n):
+            add(lang, 11 if i < over else 0)
+    for i in range(least_needed(level) - 1):
+        add("few", 0)
+    for i in range(least_needed(level)):
+        add(None, 0)
+    for lang in ("at", "above", "few", None):
+        for symbols in (0, 6, 7, 11, 12, 13):
+            add(lang, symbols, None)
+        add(lang, 13, False)
+    rows.append((10**6, "short", "at", 0, ""))
+    schema = "doc_id long, text string, lang string, k int, stratum string"
+    docs, marks = spark.createDataFrame(rows, schema), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    chosen = {(c.stratum, c.rule): c.cutoff for c in quality_rules.cutoffs(quality_rules.keep(quality_rules.measures(docs)), marks).collect()}
+    assert chosen["=at", "symbols"] == 0.03 and chosen["=above", "symbols"] == 0.06 and chosen["null", "symbols"] == 0.03
+    assert not any(stratum == "=few" for stratum, _ in chosen)
+    judged = {x.doc_id: x for x in quality_rules.judge(docs, marks).collect()}
+    for i, text, lang, *_ in rows[:-1]:
+        cutoff = {"at": 0.03, "above": 0.06, None: 0.03, "few": 9}[lang]
+        share = text.count("#") / len(text.replace(" ", ""))
+        assert judged[i].kept == (share <= cutoff), (i, lang, share)
+    assert judged[10**6].base_failed and not judged[10**6].kept
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    marks.coalesce(1).write.parquet(str(tmp_path / "labels.parquet"))
+    compared(quality_rules.query(spark, str(tmp_path)), quality_rules, {t: f"{tmp_path}/{t}.parquet" for t in ("documents", "labels")})
+
+
+def least_needed(level):
+    """Good documents that a stratum needs for any cutoff: none of them rejected."""
+    return math.ceil(math.log(level) / math.log(1 - quality_rules.RISK / len(quality_rules.RULES)))
 
 
 def test_mixed_rows(docs):
@@ -241,12 +358,129 @@ def test_chat(spark):
         chat.Template(opening="<<")
 
 
+def test_chat_query(spark, tmp_path):
+    """Conversation -1, digests and lengths, ties, repeated rows and clashing columns, against SQL and plain code."""
+    r = random.Random(3)
+    text = lambda: None if r.random() < 0.1 else "".join(r.choice(["<|", "}>", "</s>", "[INST]", "[/INST]", "\\", "é", "a ", "\n", "<", "]"]) for _ in range(r.randint(0, 9)))
+    rows = [(c, t, r.choice(["system", "user", "assistant", "tool<|", None]) if c % 3 == 0 else ["user", "assistant"][t % 2], text(), "n", t) for c in range(60) for t in range(r.randint(1, 6))]
+    rows += [rows[0], rows[5], (7, None, "user", "null turn", "", 0), (7, 0, "user", "tie", "", 0), (None, 0, "user", "x", "", 0), (None, 1, "assistant", "y", "", 0)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, loss string, valid long").repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
+    got = chat.query(spark, str(tmp_path))
+    compared(got, chat, {"conversations": f"{tmp_path}/conversations.parquet"})
+    first = got.where("conv_id = -1").first()
+    said = "</s>[INST] ok [/INST]"
+    assert first.turns_sha256 == hashlib.sha256(f"user\n{said}\nassistant\n{said}\n".encode()).hexdigest() and first.loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
+    assert (first.n_turns, first.loss_chars, first.formatted_chars, first.valid) == (2, len(said), 2 * (8 + len(said) + 3) + len("userassistant"), True)
+
+
 def test_html():
     page = "<head><title>no</title></head><p>a  b<p>c &amp; d<ul><li>x<li>y<ol><li>z</ol></ul><table><tr><td>1<td>22<tr><td>333<td>4</table><div hidden>no</div><script>'</div>'</script><pre>k\n  l</pre>e<br>f <b style='display: none'>no</b>"
     assert html_text.render(page) == "a b\n\nc & d\n\n- x\n- y\n  1. z\n\n1   | 22\n333 | 4\n\nk\n  l\n\ne\nf"
     assert html_text.render("<div>" * 5000 + "deep") == "deep" and html_text.render("a < b <") == "a < b <" and html_text.render("</p><td>x") == "x"
 
 
+class Tree:
+    """Random pages with their text by a second renderer, which goes by the tree that the page is written from."""
+
+    def __init__(self, seed):
+        self.r = random.Random(seed)
+
+    def word(self):
+        return "".join(self.r.choice("abcde<&>é") for _ in range(self.r.randint(1, 5)))
+
+    def tag(self, name, inner, end=True):
+        name = name.upper() if self.r.random() < 0.2 else name
+        given = self.r.choice(["", "", " id=x", ' title="a>b"', " data-x='<p>'"])
+        return f"<{name}{given}>{inner}" + (f"</{name}>" if end else "")
+
+    def inline(self):
+        """(page, text) of a line of words."""
+        words = [self.word() for _ in range(self.r.randint(1, 5))]
+        parts = [html.escape(w) for w in words]
+        for i in range(len(parts)):
+            if self.r.random() < 0.3:
+                parts[i] = self.tag(self.r.choice(["b", "span", "a"]), parts[i])
+            if self.r.random() < 0.1:
+                parts[i] += self.r.choice(["<!-- no > -->", "<script>'</b>'</script>", "<i hidden>no</i>", "<b style='display:none'>no</b>"])
+        return self.r.choice([" ", "\n  "]).join(parts), " ".join(words)
+
+    def items(self, depth, ordered):
+        page, lines = "", []
+        for i in range(self.r.randint(1, 3)):
+            inner, text = self.inline()
+            lines.append("  " * depth + (f"{i + 1}. " if ordered else "- ") + text)
+            if depth < 2 and self.r.random() < 0.3:
+                more, below = self.items(depth + 1, kind := self.r.random() < 0.5)
+                inner += self.tag("ol" if kind else "ul", more)
+                lines += below
+            page += self.tag("li", inner, self.r.random() < 0.6)
+        return page, lines
+
+    def table(self):
+        rows = [[self.inline() for _ in range(self.r.randint(1, 4))] for _ in range(self.r.randint(1, 4))]
+        width = [max(len(r[i][1]) for r in rows if i < len(r)) for i in range(max(map(len, rows)))]
+        page = "".join(self.tag("tr", "".join(self.tag(self.r.choice(["td", "th"]), p, self.r.random() < 0.6) for p, _ in r), self.r.random() < 0.6) for r in rows)
+        return page, [" | ".join(t.ljust(w) for (_, t), w in zip(r, width, strict=False)).rstrip() for r in rows]
+
+    def block(self, depth=0):
+        """Page, and blocks of (lines, whether blank lines stand around)."""
+        kind = self.r.choice(["p", "h2", "ul", "ol", "table", "div", "section", "hidden"])
+        if kind in ("p", "h2"):
+            page, text = self.inline()
+            return self.tag(kind, page), [([text], True)]
+        if kind in ("ul", "ol"):
+            page, lines = self.items(0, kind == "ol")
+            return self.tag(kind, page), [(lines, True)]
+        if kind == "table":
+            page, lines = self.table()
+            return self.tag("table", page), [(lines, True)]
+        if kind == "hidden":
+            return f"<div hidden>{self.inline()[0]}</div><nav style='visibility: hidden'><p>no</nav>", []
+        if depth > 2 or self.r.random() < 0.5:
+            page, text = self.inline()
+            return self.tag(kind, page), [([text], False)]
+        parts = [self.block(depth + 1) for _ in range(self.r.randint(1, 3))]
+        return self.tag(kind, "\n".join(p for p, _ in parts)), [b for _, bs in parts for b in bs]
+
+    def page(self):
+        parts = [self.block() for _ in range(self.r.randint(1, 6))]
+        text, blank = "", True
+        for lines, apart in (b for _, bs in parts for b in bs):
+            text += ("" if not text else "\n\n" if apart or blank else "\n") + "\n".join(lines)
+            blank = apart
+        return "<!DOCTYPE html><html><head><title>no</title><body>" + "\n".join(p for p, _ in parts), text
+
+
+def test_html_against_a_second_renderer():
+    for seed in range(600):
+        page, text = Tree(seed).page()
+        assert html_text.render(page) == text, (seed, page)
+
+
+def test_html_spans():
+    table = "<table><tr><th colspan=2>ab<th>c<tr><td rowspan=2>1<td>2<td>3<tr><td>4<td>5</table>"
+    assert html_text.render(table) == "ab |   | c\n1  | 2 | 3\n   | 4 | 5"
+    assert html_text.render("<table><tr><td colspan=x>a<td rowspan=0>b<tr><td>c<td>d</table>") == "a | b\nc | d"
+    wide = html_text.render("<table><tr><td>" + "x" * 500 + "<td>y<tr><td>a<td>b</table>").split("\n")
+    assert wide[0] == "x" * 500 + " | y" and wide[1] == "a".ljust(html_text.PAD) + " | b"
+    assert html_text.render("<table>" + "<tr><td rowspan=9999 colspan=50>x" * 3 + "</table>") == "x\nx\nx"
+
+
+@pytest.mark.parametrize("page", ["<a " * 100_000, "<b>" * 50_000 + "</i>" * 50_000, "<table><tr><i><td>" + "<b>" * 50_000 + "</i>" * 50_000, "<ul>" * 20_000 + "<li>x" * 20_000, "<table><tr><td>x" * 5_000, "<table><tr><td>" + "x" * 50_000 + "<td>y" + "<tr><td>a<td>b" * 20_000, "<p><b>" * 30_000, "<svg>" * 20_000 + "<text>" * 20_000])
+def test_html_linear(page):
+    """Broken pages take seconds, not hours."""
+    began = time.process_time()
+    html_text.render(page)
+    assert time.process_time() - began < 20
+
+
+def test_html_tables(spark):
+    """Nulls, repeated rows and clashing columns."""
+    rows = [(1, "<p>a", "u", "t"), (1, "<p>a", "u", "t"), (None, None, "u", "t"), (2, "", None, "t"), (None, "x<br>y", None, None)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, html string, url string, text string"))
+    assert grouped(got.collect()) == Counter([(1, "a"), (1, "a"), (None, ""), (2, ""), (None, "x\ny")])
+
+
 def test_html_raw_end_beside_long_lower_case():
     page = "<head><TITLE>İstanbul</Title><script>'</scripted>' İ</SCRIPT ></head><body><p>İ a<xmp>b</Xmp>c"
     assert html_text.render(page) == "İ a\n\nb\nc" and html_text.render("a<script>İ") == "a"
@@ -288,6 +522,17 @@ def test_classifier(spark):
     assert all(x.kept for x in ordinal_quality.classify(docs, labels.where("false")).collect())
 
 
+def test_classifier_rows_are_bounded(spark, monkeypatch):
+    """Also where a doc_id repeats, at most ``most`` rows reach the driver; clashing columns and null labels don't matter."""
+    seen = []
+    fit = ordinal_quality.fit
+    monkeypatch.setattr(ordinal_quality, "fit", lambda grade, *more: seen.append(len(grade)) or fit(grade, *more))
+    docs = spark.createDataFrame([(i % 3, f"word{i} text", "g", 1) for i in range(90)], "doc_id long, text string, grade string, k int")
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 1), (2, 0, 0), (None, 1, 0), (1, None, 0)], "doc_id long, quality int, toxic int")
+    assert ordinal_quality.train(docs, labels, most=20) is not None and seen == [20]
+    assert ordinal_quality.classify(docs, labels).count() == 90
+
+
 def vectors(texts):
     data = [t.encode() for t in texts]
     return ordinal_quality.features(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
