@@ -56,8 +56,8 @@ PART, BLOCK = 4096, 128
 SLOT = 512
 #: Next sets in a fixed order that each set is compared with before all that may still link it to another component.
 NEAREST = 16
-#: Pairs that a task holds to sum them.
-HELD_PAIRS = 1 << 20
+#: Pairs that a task holds to sum them, and that it looks at together.
+HELD_PAIRS, AT_ONCE = 1 << 20, 1 << 18
 #: Fingerprints that a task remembers, so as not to give the sets of copies again.
 SEEN = 1 << 20
 
@@ -187,100 +187,141 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), batch.column(1), *sizes, pa.array(out, pa.int64())], names=["a", "b", "na", "nb", "both"])
 
 
+class _Members:
+    """Members of lists, one list after another: what is known of each set, and its list's number."""
+
+    NAMES = ("sig", "size", "rank", "rest", "comp", "met", "low", "mask", "spare", "side")
+
+    def __init__(self, columns: list[np.ndarray], where: np.ndarray, same: np.ndarray):
+        for name, column in zip(self.NAMES, columns, strict=True):
+            setattr(self, name, column)
+        self.columns, self.where, self.same = columns, where, same
+        self.apart = self.size - self.low  # what the pivot may lack, at most
+
+    def taken(self, order: np.ndarray) -> _Members:
+        return _Members([c[order] for c in self.columns], self.where[order], self.same[order])
+
+    def lists(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where each member's list begins, and its members."""
+        starts = np.flatnonzero(np.r_[True, self.where[1:] != self.where[:-1]])
+        sizes = np.diff(np.r_[starts, len(self.where)])
+        return np.repeat(starts, sizes), np.repeat(sizes, sizes)
+
+
 def _pairs(percent: int, nearest: bool = False):
     """Pairs of a list (rows of one token and two parts, by size) that neither sizes, positions nor the pivot's answers exclude; ``nearest``: of each set only the ``NEAREST`` next ones in an order that all lists share."""
 
     def need(m, n):
         return -(-percent * (m + n) // (100 + percent))
 
-    def neighbours(sig, size, rank, rest, comp, met, low, mask, spare, side, same: bool):
-        order = np.argsort(mix(sig.view(np.uint64)), kind="stable")
-        for step in range(1, min(NEAREST, len(sig) // 2) + 1):
-            a, b = order, np.roll(order, -step)
-            a, b = np.where(size[a] <= size[b], a, b), np.where(size[a] <= size[b], b, a)
-            a, b = possible(a, b, size, rank, rest, comp, met, low, mask, spare, side, same)
-            if len(a):
-                yield ordered(a, b, sig, size)
-
-    def possible(a, b, size, rank, rest, comp, met, low, mask, spare, side, same: bool):
-        """The pairs, with the smaller set first, that may link."""
-        least, apart = need(size[a], size[b]), size - low  # apart: what the pivot may lack, at most
-        good = (a != b) & (comp[a] != comp[b]) & (100 * size[a] >= percent * size[b])
-        good &= np.minimum(rank[a], rank[b]) + 1 + np.minimum(rest[a], rest[b]) >= least
-        good &= (met[a] + apart[b] >= least) & (met[b] + apart[a] >= least)
-        if not same:
-            good &= side[a] != side[b]
+    def possible(a, b, v: _Members):
+        """The pairs that may link, of which the first is the smaller set: fingerprints and sizes, the lower fingerprint first."""
+        least = need(v.size[a], v.size[b])
+        good = (v.comp[a] != v.comp[b]) & (100 * v.size[a] >= percent * v.size[b])
+        good &= np.minimum(v.rank[a], v.rank[b]) + 1 + np.minimum(v.rest[a], v.rest[b]) >= least
+        good &= (v.met[a] + v.apart[b] >= least) & (v.met[b] + v.apart[a] >= least)
+        good &= v.same[a] | (v.side[a] != v.side[b])
         a, b = a[good], b[good]
         # the lists they share, at most, and what may match behind those
-        lists = np.bitwise_count((mask[a] & mask[b]).view(np.uint64)).astype(np.int64) + np.minimum(spare[a], spare[b])
-        good = lists + -(-percent * size[b] // 100) - 1 >= need(size[a], size[b])
-        return a[good], b[good]
-
-    def ordered(a, b, sig, size):
-        a, b = np.where(sig[a] < sig[b], a, b), np.where(sig[a] < sig[b], b, a)
-        return sig[a], sig[b], size[a], size[b]
-
-    def of_list(sig, size, rank, rest, comp, met, low, mask, spare, side, same: bool):
-        order = np.argsort(size, kind="stable")
-        sig, size, rank, rest, comp, met, low, mask, spare, side = (v[order] for v in (sig, size, rank, rest, comp, met, low, mask, spare, side))
-        apart = size - low  # what the pivot may lack, at most
-        for i in range(0, len(sig), BLOCK):
+        shared = np.bitwise_count((v.mask[a] & v.mask[b]).view(np.uint64)).astype(np.int64) + np.minimum(v.spare[a], v.spare[b])
+        good = shared + -(-percent * v.size[b] // 100) - 1 >= need(v.size[a], v.size[b])
+        a, b = a[good], b[good]
+        a, b = np.where(v.sig[a] < v.sig[b], a, b), np.where(v.sig[a] < v.sig[b], b, a)
+        return v.sig[a], v.sig[b], v.size[a], v.size[b]
+
+    def next_ones(v: _Members):
+        """Of many lists at once."""
+        v = v.taken(np.lexsort((mix(v.sig.view(np.uint64)), v.where)))
+        start, size = v.lists()
+        at = np.arange(len(start))
+        for step in range(1, min(NEAREST, int(size.max(initial=0)) // 2) + 1):
+            a = at[size >= 2 * step]
+            b = start[a] + (a - start[a] + step) % size[a]
+            yield possible(np.where(v.size[a] <= v.size[b], a, b), np.where(v.size[a] <= v.size[b], b, a), v)
+
+    def all_pairs(v: _Members):
+        """Of many short lists at once."""
+        v = v.taken(np.lexsort((v.size, v.where)))
+        start, size = v.lists()
+        after = start + size - 1 - np.arange(len(start))
+        ends = np.cumsum(after)
+        begin = 0
+        while begin < len(after):
+            end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + AT_ONCE, "right")))
+            some = after[begin:end]
+            a = np.repeat(np.arange(begin, end), some)
+            yield possible(a, a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(some) - some, some), v)
+            begin = end
+
+    def blocks(v: _Members):
+        """Of one long list, block by block."""
+        v = v.taken(np.argsort(v.size, kind="stable"))
+        for i in range(0, len(v.sig), BLOCK):
             x = slice(i, i + BLOCK)
-            for j in range(i, len(sig), BLOCK):
+            for j in range(i, len(v.sig), BLOCK):
                 y = slice(j, j + BLOCK)
-                if 100 * size[x][-1] < percent * size[y][0]:
+                if 100 * v.size[x][-1] < percent * v.size[y][0]:
                     break
-                least = need(size[x][0], size[y][0])
-                if np.minimum(rank[x].max(), rank[y].max()) + 1 + np.minimum(rest[x].max(), rest[y].max()) < least:
+                least = need(v.size[x][0], v.size[y][0])
+                if np.minimum(v.rank[x].max(), v.rank[y].max()) + 1 + np.minimum(v.rest[x].max(), v.rest[y].max()) < least:
                     continue
-                if met[x].max() + apart[y].max() < least or met[y].max() + apart[x].max() < least:
+                if v.met[x].max() + v.apart[y].max() < least or v.met[y].max() + v.apart[x].max() < least:
                     continue
-                if comp[x].min() == comp[x].max() == comp[y].min() == comp[y].max():
+                if v.comp[x].min() == v.comp[x].max() == v.comp[y].min() == v.comp[y].max():
                     continue
-                a, b = (g.ravel() for g in np.meshgrid(np.arange(i, min(i + BLOCK, len(sig))), np.arange(j, min(j + BLOCK, len(sig))), indexing="ij"))
-                a, b = a[a < b], b[a < b]
-                a, b = possible(a, b, size, rank, rest, comp, met, low, mask, spare, side, same)
-                if len(a):
-                    yield ordered(a, b, sig, size)
+                a, b = (g.ravel() for g in np.meshgrid(np.arange(i, min(i + BLOCK, len(v.sig))), np.arange(j, min(j + BLOCK, len(v.sig))), indexing="ij"))
+                yield possible(a[a < b], b[a < b], v)
+
+    def of_lists(columns: list[np.ndarray], cuts: np.ndarray, same: np.ndarray):
+        sizes = np.diff(np.r_[cuts, len(columns[0])])
+        every = _Members(columns, np.repeat(np.arange(len(cuts)), sizes), same)
+        if nearest:
+            yield from next_ones(every)
+            return
+        long = np.repeat(sizes > BLOCK, sizes)
+        yield from all_pairs(every.taken(np.flatnonzero(~long)))
+        for k in np.flatnonzero(sizes > BLOCK).tolist():
+            yield from blocks(every.taken(np.arange(cuts[k], cuts[k] + sizes[k])))
 
     def summed(found: list) -> pa.RecordBatch:
         """One row for each pair, with the number of lists that gave it."""
         a, b, na, nb = (np.concatenate(c) for c in zip(*found, strict=True))
         order = np.lexsort((b, a))
         a, b, na, nb = (c[order] for c in (a, b, na, nb))
-        new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
         count = np.diff(np.r_[new, len(a)])
-        a, b, na, nb = (c[new] for c in (a, b, na, nb))
-        return pa.record_batch([longs(c) for c in (a, b, na, nb, count)], names=["a", "b", "na", "nb", "count"])
+        return pa.record_batch([longs(c) for c in (*(c[new] for c in (a, b, na, nb)), count)], names=["a", "b", "na", "nb", "count"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key, found, many = [], None, [], 0
-
-        def done():
-            if held:
-                columns_ = [np.concatenate(c) for c in zip(*held, strict=True)]
-                yield from (neighbours if nearest else of_list)(*columns_, same=key[2] == key[3])
-
-        for batch in batches:
-            pivot, token, i, j, *rest = (c.to_numpy() for c in batch.columns)
-            cuts = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]) if len(token) else []
-            for a, b in zip(cuts, [*cuts[1:], len(token)], strict=True):
-                if (now := (pivot[a], token[a], i[a], j[a])) != key:
-                    for part in done():
-                        found.append(part)
-                        many += len(part[0])
-                    if many >= HELD_PAIRS or found and key[0] != now[0] and many >= HELD_PAIRS // 64:
+        held, found, many = None, [], 0
+        for batch in _then_none(batches):
+            if batch is not None:
+                now = [c.to_numpy().astype(np.int64) for c in batch.columns]
+                held = now if held is None else [np.concatenate(c) for c in zip(held, now, strict=True)]
+            if held is None or not len(held[0]):
+                continue
+            _, token, i, j, *rest = held
+            cuts = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+            whole = len(token) if batch is None else int(cuts[-1])  # the last list may go on
+            if whole:
+                for part in of_lists([c[:whole] for c in rest], cuts[cuts < whole], (i == j)[:whole]):
+                    found.append(part)
+                    many += len(part[0])
+                    if many >= HELD_PAIRS:
                         yield summed(found)
                         found, many = [], 0
-                    held, key = [], now
-                held.append([c[a:b].astype(np.int64) for c in rest])
-        found += done()
+                held = [c[whole:] for c in held]
         if found:
             yield summed(found)
 
     return run
 
 
+def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
 def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b, na, nb, both: the sizes of two sets and of what they share, for each pair (a, b) of fingerprints."""
     pairs = keep(pairs.select("a", "b"))
