@@ -541,7 +541,26 @@ def vectors(texts):
 def test_classifier_words_without_punctuation():
     text, index, _ = vectors(["idiot", "(idiot,", "...", ""])
     held = [set(index[text == i].tolist()) for i in range(4)]
-    assert held[0] < held[1] and len(held[1]) == 3 and len(held[2]) == 1 and not held[0] & held[2] and not held[3]
+    assert held[0] < held[1] and len(held[1] - held[0]) == 2 and len(held[2]) == 1 and not held[0] & held[2] and not held[3]
+
+
+def test_classifier_stems():
+    """Whole word, first four and first six characters, each where the word is longer; characters may have several bytes."""
+    text, index, _ = vectors(["word", "words", "wordless", "éàüö", "éàüöx yz", "yz éàüö"])
+    held = [set(index[text == i].tolist()) for i in range(6)]
+    assert [len(h) for h in held] == [1, 2, 3, 1, 3, 2]
+    assert held[0] < held[1] and held[0] < held[2] and len(held[1] & held[2]) == 1 and held[3] < held[4] and held[5] < held[4]
+
+
+def test_classifier_new_forms(spark):
+    """Words never seen in training are judged by their stems."""
+    r = random.Random(8)
+    ends = ["".join(r.choice("aeinrst") for _ in range(5)) for _ in range(60)]
+    says = lambda stem, some: " ".join([f"plain{r.choice(ends)}" for _ in range(30)] + [stem + r.choice(some) for _ in range(6)])
+    docs = spark.createDataFrame([(i, says(["zornig", "good"][i % 2], ends[:30] if i < 200 else ends[30:])) for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 1 - i % 2) for i in range(200)], "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x.tail_1 for x in ordinal_quality.classify(docs, labels).collect()}
+    assert max(got[i] for i in range(200, 300, 2)) < 0.5 < min(got[i] for i in range(201, 300, 2))
 
 
 def test_classifier_fit_settles():
