@@ -86,6 +86,16 @@ class Model:
 def fit(grade: np.ndarray, row: np.ndarray, index: np.ndarray, value: np.ndarray) -> Model:
     """The most likely model with a small penalty, by full gradients (L-BFGS) until they settle. Thresholds stay ordered: t2 = t1 + exp(d)."""
     n, dim, at = len(grade), 1 << DIM_BITS, np.arange(len(grade))
+    sizes = np.bincount(row, minlength=n)  # ``row`` ascends
+    full_rows, index = np.flatnonzero(sizes), index.astype(np.intp)
+    begins = (np.cumsum(sizes) - sizes)[full_rows]
+
+    def scores(weights: np.ndarray) -> np.ndarray:
+        out = np.zeros(n)
+        if len(begins):
+            out[full_rows] = np.add.reduceat(value * weights[index], begins)
+        return out
+
     share = np.cumsum(np.bincount(grade, minlength=GRADES)[:-1] + 1) / (n + GRADES)
     t = np.log(share / (1 - share))
     x = np.append(np.zeros(dim), [t[0], np.log(max(t[1] - t[0], 1e-3))])
@@ -95,14 +105,14 @@ def fit(grade: np.ndarray, row: np.ndarray, index: np.ndarray, value: np.ndarray
 
     def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
         m = model(x)
-        c = m.below(np.bincount(row, value * m.weights[index], minlength=n))
+        c = m.below(scores(m.weights))
         full = np.hstack([np.zeros((n, 1)), c, np.ones((n, 1))])
         slope = full * (1 - full)
         p = np.maximum(full[at, grade + 1] - full[at, grade], 1e-12)
         high, low = slope[at, grade + 1] / p, slope[at, grade] / p
         by_score = (high - low) / n  # of -ln p
         by_t = np.array([-(high * (grade + 1 == k) - low * (grade == k)).sum() / n for k in (1, 2)])
-        by_w = np.bincount(index, value * by_score[row], minlength=dim) + DECAY * m.weights
+        by_w = np.bincount(index, value * np.repeat(by_score, sizes), minlength=dim) + DECAY * m.weights
         return -np.log(p).mean() + DECAY / 2 * (m.weights @ m.weights), np.append(by_w, [by_t.sum(), by_t[1] * np.exp(x[dim + 1])])
 
     f, g = loss(x)
