@@ -100,8 +100,13 @@ def _fingerprints(texts: np.ndarray, tokens: np.ndarray, docs: int) -> tuple[np.
 
 def _count_shingles(n: int, block: int = 1 << 22):
     def met_twice(parts: list[np.ndarray]) -> pa.RecordBatch:
-        tokens, counts = np.unique(np.concatenate(parts), return_counts=True)
-        return pa.record_batch([longs(tokens[counts > 1]), longs(counts[counts > 1])], names=["token", "n"])
+        tokens = np.concatenate(parts)
+        parts.clear()  # a block is held once while it is sorted in place
+        tokens.sort()
+        again = tokens[1:] == tokens[:-1]
+        first = np.flatnonzero(again & ~np.r_[False, again[:-1]])
+        last = np.flatnonzero(again & ~np.r_[again[1:], False])
+        return pa.record_batch([longs(tokens[first]), longs(last - first + 2)], names=["token", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, total = [], 0
@@ -285,12 +290,14 @@ def _pairs(percent: int, nearest: bool = False):
 
     def summed(found: list) -> pa.RecordBatch:
         """One row for each pair, with the number of lists that gave it."""
-        a, b, na, nb = (np.concatenate(c) for c in zip(*found, strict=True))
+        columns = list(zip(*found, strict=True))
+        found.clear()  # the pieces of each column go as it is joined
+        a, b, na, nb = (np.concatenate(columns.pop(0)) for _ in range(4))
         order = np.lexsort((b, a))
-        a, b, na, nb = (c[order] for c in (a, b, na, nb))
+        a, b = a[order], b[order]
         new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
-        count = np.diff(np.r_[new, len(a)])
-        return pa.record_batch([longs(c) for c in (*(c[new] for c in (a, b, na, nb)), count)], names=["a", "b", "na", "nb", "count"])
+        count, at = np.diff(np.r_[new, len(a)]), order[new]
+        return pa.record_batch([longs(c) for c in (a[new], b[new], na[at], nb[at], count)], names=["a", "b", "na", "nb", "count"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, found, many = None, [], 0

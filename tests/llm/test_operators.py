@@ -6,14 +6,17 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corvine.llm import chat, components, decontaminate, html_text, huffman, mixing, ngram_jaccard, ordinal_quality, pii, quality_rules, queries, substring_dedup, token_files
+from corvine.llm.wordhash import Words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, k string, anchor int, bucket string"
@@ -116,6 +119,19 @@ def test_ngram_jaccard_near_the_threshold(spark):
     assert {x.doc_id: x.component_id for x in got.collect()} == {i: top(i) for i in range(len(sets))}
 
 
+def test_shingle_counts_hold_a_block_once():
+    texts = [" ".join(f"{d % 40}w{i}" for i in range(500)) for d in range(400)]
+    batches = [pa.record_batch([pa.array(texts[i : i + 4])], names=["text"]) for i in range(0, len(texts), 4)]
+    block = 496 * 300
+    expected = [Counter(t for text in texts[i : i + 300] for t in ngram_jaccard.shingle_sets(Words(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)])), 5)[1].tolist()) for i in (0, 300)]
+    tracemalloc.start()
+    got = list(ngram_jaccard._count_shingles(5, block)(iter(batches)))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [dict(zip(g.column(0).to_numpy().view(np.uint64).tolist(), g.column(1).to_pylist(), strict=True)) for g in got] == [{t: n for t, n in e.items() if n > 1} for e in expected]
+    assert most < 3 * 8 * block  # the block, its copy while the pieces are joined, and what else is small
+
+
 def test_components(spark):
     r = random.Random(1)
     links = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)]
