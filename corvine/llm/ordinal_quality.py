@@ -8,8 +8,10 @@ A word's punctuation at its ends is taken off and hashed by itself, so that "idi
 the first characters are hashed as well, so that inflected and compound words share those of their stem.
 
 Training takes at most ``MOST`` labelled rows, those of the ``MOST`` least digests of doc_id, and of them those of the least
-digests of id and text, whole texts, as hashed word weights, and runs on the driver until the gradient settles: ``MOST`` and ``DIM`` bound its memory. The model, DIM numbers, is broadcast; all documents are
-scored where they are, without a shuffle.
+digests of id and text, whole texts, as hashed word weights, and runs on the driver until the gradient settles. The rows come in
+pieces of ``PIECE`` and are held in 8 bytes a feature, 14 while they come in; a row has ``DIM`` features at most. The fit goes over them in
+parts of ``PART`` features and adds no more than a part's work. The model, DIM numbers, is broadcast; all documents are scored where
+they are, without a shuffle.
 
 Cases: null and empty texts score by thresholds alone; labels of unknown documents or with nulls are ignored, of several labels
 the lowest grade counts; with no labels, or of one grade only, everything has the same probabilities and is kept; doc_id may be
@@ -21,9 +23,11 @@ from __future__ import annotations
 import string
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +35,8 @@ from .common import row_key, table
 from .wordhash import Words, bytes_hash, columns, lists
 
 DIM_BITS, MOST, GRADES = 16, 20_000, 3
+#: Rows in a piece on its way to the driver; features that the fit takes at a time, or one row's.
+PIECE, PART = 250, 1 << 18
 #: The fit ends where the gradient is ``SETTLED`` times the first one; ``MEMORY`` past steps give the curvature.
 SETTLED, MEMORY, DECAY = 1e-3, 10, 2e-5
 #: Numbers of characters at a word's start that are a feature too, where the word is longer.
@@ -70,7 +76,7 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j, data, offsets in columns(batch, "text", lower=True):
             text, index, value = features(data, offsets)
             sizes = np.bincount(text, minlength=j - i)
-            yield pa.record_batch([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), lists(index, sizes, np.int32), lists(value, sizes, np.float32)], names=["grade", "k", "index", "value"])
+            yield pa.record_batch([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), lists(index.astype(np.uint16).view(np.int16), sizes, np.int16), lists(value, sizes, np.float32)], names=["grade", "k", "index", "value"])
 
 
 @dataclass(frozen=True)
@@ -86,14 +92,18 @@ class Model:
 def fit(grade: np.ndarray, row: np.ndarray, index: np.ndarray, value: np.ndarray) -> Model:
     """The most likely model with a small penalty, by full gradients (L-BFGS) until they settle. Thresholds stay ordered: t2 = t1 + exp(d)."""
     n, dim, at = len(grade), 1 << DIM_BITS, np.arange(len(grade))
-    sizes = np.bincount(row, minlength=n)  # ``row`` ascends
-    full_rows, index = np.flatnonzero(sizes), index.astype(np.intp)
-    begins = (np.cumsum(sizes) - sizes)[full_rows]
+    bounds = np.append(np.searchsorted(row, at.astype(row.dtype)), len(row))  # ``row`` ascends
+    sizes, cuts = np.diff(bounds), [0]
+    while cuts[-1] < n:
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(bounds, bounds[cuts[-1]] + PART, "right")) - 1))
+    parts = [(slice(i, j), slice(bounds[i], bounds[j])) for i, j in pairwise(cuts)]
 
     def scores(weights: np.ndarray) -> np.ndarray:
         out = np.zeros(n)
-        if len(begins):
-            out[full_rows] = np.add.reduceat(value * weights[index], begins)
+        for rows, held in parts:
+            full_rows = np.flatnonzero(sizes[rows])
+            if len(full_rows):
+                out[rows.start + full_rows] = np.add.reduceat(value[held] * weights[index[held]], bounds[rows][full_rows] - held.start)
         return out
 
     share = np.cumsum(np.bincount(grade, minlength=GRADES)[:-1] + 1) / (n + GRADES)
@@ -112,7 +122,10 @@ def fit(grade: np.ndarray, row: np.ndarray, index: np.ndarray, value: np.ndarray
         high, low = slope[at, grade + 1] / p, slope[at, grade] / p
         by_score = (high - low) / n  # of -ln p
         by_t = np.array([-(high * (grade + 1 == k) - low * (grade == k)).sum() / n for k in (1, 2)])
-        by_w = np.bincount(index, value * np.repeat(by_score, sizes), minlength=dim) + DECAY * m.weights
+        by_w = np.zeros(dim)
+        for rows, held in parts:
+            np.add.at(by_w, index[held], value[held] * np.repeat(by_score[rows], sizes[rows]))
+        by_w += DECAY * m.weights
         return -np.log(p).mean() + DECAY / 2 * (m.weights @ m.weights), np.append(by_w, [by_t.sum(), by_t[1] * np.exp(x[dim + 1])])
 
     f, g = loss(x)
@@ -139,17 +152,31 @@ def fit(grade: np.ndarray, row: np.ndarray, index: np.ndarray, value: np.ndarray
     return Model(m.weights.astype(np.float32), m.thresholds)
 
 
+def _by_key(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(grade, row, index, value) for ``fit``, rows in order of k however they were dealt."""
+    order = np.argsort(rows["k"].to_numpy(), kind="stable")
+    sizes = pc.list_value_length(rows["index"]).to_numpy().astype(np.int64)
+    begins = np.empty(len(order), np.int64)
+    begins[order] = np.cumsum(sizes[order]) - sizes[order]
+    index, value = np.empty(sizes.sum(), np.uint16), np.empty(sizes.sum(), np.float32)
+    after = 0
+    for batch in rows.to_batches():
+        own, after = slice(after, after + batch.num_rows), after + batch.num_rows
+        at = np.repeat(begins[own] - (np.cumsum(sizes[own]) - sizes[own]), sizes[own]) + np.arange(sizes[own].sum())
+        index[at] = batch["index"].flatten().to_numpy().view(np.uint16)
+        value[at] = batch["value"].flatten().to_numpy()
+    row = np.repeat(np.arange(len(order), dtype=np.min_scalar_type(len(order))), sizes[order])
+    return rows["grade"].to_numpy().astype(np.int64)[order], row, index, value
+
+
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model | None:
     graded = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.expr("case when toxic >= 1 then 0 when quality >= 1 then 2 else 1 end")).alias("grade"))
     chosen = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # at most ``most`` rows of two numbers
-    vectors = known.select("grade", "text", row_key(F.col("doc_id"), F.col("text")).alias("k")).mapInArrow(_vectors, "grade int, k long, index array<int>, value array<float>")
-    rows = vectors.orderBy("k").limit(most).toArrow().combine_chunks()  # also where doc_ids repeat
-    if not rows.num_rows or len(rows["grade"].unique()) < 2:
-        return None
-    index, value = (rows[k].combine_chunks() for k in ("index", "value"))
-    row = np.repeat(np.arange(rows.num_rows, dtype=np.int32), index.value_lengths().to_numpy())
-    return fit(rows["grade"].to_numpy().astype(np.int64), row, index.flatten().to_numpy(), value.flatten().to_numpy())
+    vectors = known.select("grade", "text", row_key(F.col("doc_id"), F.col("text")).alias("k")).mapInArrow(_vectors, "grade int, k long, index array<smallint>, value array<float>")
+    first = vectors.orderBy("k").limit(most)  # also where doc_ids repeat
+    grade, *rest = _by_key(first.repartition(-(-most // PIECE)).toArrow())
+    return fit(grade, *rest) if len(np.unique(grade)) > 1 else None
 
 
 def _score(shared):

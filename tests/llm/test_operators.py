@@ -594,6 +594,38 @@ def test_classifier_fit_settles():
     assert loss(1) < min(loss(0.98), loss(1.02))
 
 
+def test_classifier_fit_holds_parts(monkeypatch):
+    """Beside its input the fit holds little, however many features there are; the parts don't change the model, nor do rows of no or many features."""
+    r = np.random.default_rng(4)
+    sizes = np.append(r.integers(0, 2000, 4000), [0, 300_000, 0])
+    grade, row = r.integers(0, 3, len(sizes)), np.repeat(np.arange(len(sizes)), sizes)
+    index, value = r.integers(0, 1 << 16, len(row)).astype(np.uint16), np.full(len(row), 0.03, np.float32)
+    monkeypatch.setattr(ordinal_quality, "SETTLED", 0.5)
+    tracemalloc.start()
+    m = ordinal_quality.fit(grade, row, index, value)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(row) > 4_000_000 and peak < 6 * len(row)
+    monkeypatch.setattr(ordinal_quality, "PART", 1 << 30, raising=False)
+    whole = ordinal_quality.fit(grade, row, index, value)
+    assert np.any(m.weights) and np.array_equal(m.weights, whole.weights) and np.array_equal(m.thresholds, whole.thresholds)
+
+
+def test_classifier_rows_come_in_pieces(spark, monkeypatch):
+    """No large part of the training rows is sent to the driver at once, and how they are cut doesn't change what is fitted."""
+    r = random.Random(6)
+    docs = spark.createDataFrame([(i, " ".join(f"w{r.randrange(500)}" for _ in range(i % 90))) for i in range(900)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 3 // 2) for i in range(900)], "doc_id long, quality int, toxic int")
+    sent, given, collect, frame = [], [], type(docs).toArrow, type(docs)
+    monkeypatch.setattr(frame, "toArrow", lambda self: sent.append(collect(self)) or sent[-1])
+    monkeypatch.setattr(ordinal_quality, "fit", lambda *data: given.append(data))
+    for piece in (30, 900):
+        monkeypatch.setattr(ordinal_quality, "PIECE", piece, raising=False)
+        ordinal_quality.train(docs, labels, most=900)
+    assert max(b.num_rows for b in sent[0].to_batches()) <= 60 and sent[0].num_rows == 900
+    assert len(given[0][0]) == 900 and all(map(np.array_equal, *given))
+
+
 def test_empty_tables(spark, tmp_path):
     for name, schema in {"documents": SCHEMA, "benchmark": "item_id long, text string", "labels": "doc_id long, quality int, toxic int", "pages": "page_id long, html string", "conversations": "conv_id long, turn long, role string, text string"}.items():
         spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
